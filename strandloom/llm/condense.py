@@ -26,12 +26,12 @@ def _find(parent: np.ndarray, x: int) -> int:
     return root
 
 
-def spanning_forest(a: np.ndarray, b: np.ndarray, sim: np.ndarray, n: int) -> np.ndarray:
-    """Indexes of the edges of a maximum spanning forest; ties go to the smaller (a, b)."""
+def spanning_forest(u: np.ndarray, v: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
+    """Indexes of the edges of a spanning forest of nodes 0..n-1 that prefers edges by ``order``."""
     parent = np.arange(n)
     keep = []
-    for k in np.lexsort((b, a, -sim)):
-        x, y = _find(parent, a[k]), _find(parent, b[k])
+    for k in order:
+        x, y = _find(parent, u[k]), _find(parent, v[k])
         if x != y:
             parent[max(x, y)] = min(x, y)
             keep.append(k)

@@ -1,0 +1,85 @@
+"""The condensed hierarchy of ``condense`` for forests that no single task may hold.
+
+One pass per level, from the finest to the coarsest, over tables of components that shrink as they
+merge; each pass costs a few joins.  Results equal those of ``condense.condensed_clusters``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut_lineage
+
+
+def component_roots(edges: DataFrame) -> DataFrame:
+    """``c, r``: for each node of the edges ``u, v`` the root of its connected component."""
+    from .clusters import _roots
+
+    left = cut_lineage(edges.select("u", "v", F.col("u").alias("a"), F.col("v").alias("b")))
+    out = None
+    while left.limit(1).count():
+        key = F.struct("a", "b", "other")
+        ends = left.select(F.col("u").alias("c"), F.col("v").alias("other"), "a", "b").unionByName(left.select(F.col("v").alias("c"), F.col("u").alias("other"), "a", "b"))
+        root = _roots(ends.groupBy("c").agg(F.min(key).alias("k")).select("c", F.col("k.other").alias("p")))
+        up = root.select(F.col("c").alias("r"), F.col("r").alias("rr"))
+        out = root if out is None else out.join(up, "r", "left").select("c", F.coalesce("rr", "r").alias("r"))
+        ru, rv = root.select(F.col("c").alias("u"), F.col("r").alias("ru")), root.select(F.col("c").alias("v"), F.col("r").alias("rv"))
+        moved = left.join(ru, "u").join(rv, "v").where("ru <> rv")
+        left = cut_lineage(moved.groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min(F.struct("a", "b")).alias("k")).select("u", "v", "k.a", "k.b"))
+        out = cut_lineage(out)
+    return out
+
+
+def condensed_by_levels(tree: DataFrame, min_size: int) -> DataFrame:
+    """``id, cluster_id, persistence`` of the forest ``a, b, level``."""
+    ids = tree.select(F.col("a").alias("id")).union(tree.select("b")).distinct()
+    none = F.lit(None).cast("string")
+    nodes = cut_lineage(ids.select("id", F.col("id").alias("c"), F.lit(None).cast("int").alias("persistence"), none.alias("chain")))
+    comps = ids.select(F.col("id").alias("c"), F.lit(1).cast("bigint").alias("size"), none.alias("chain"), F.lit(0.0).alias("stab"), F.lit(0.0).alias("below"))
+    present = {r[0] for r in tree.select("level").distinct().collect()}  # a few dozen levels
+    ended: list[DataFrame] = []
+    for lev in range(max(present), -1, -1):
+        if lev in present:
+            here = tree.where(F.col("level") == lev)
+            pos = nodes.select(F.col("id"), F.col("c"))
+            edges = here.join(pos.withColumnsRenamed({"id": "a", "c": "u"}), "a").join(pos.withColumnsRenamed({"id": "b", "c": "v"}), "b").select("u", "v")
+            root = component_roots(edges)
+            old = comps.join(root, "c", "left").withColumn("r", F.coalesce("r", "c"))
+            best = F.greatest("stab", "below")
+            some = F.col("chain").isNotNull()
+            merged = old.groupBy("r").agg(
+                F.sum("size").alias("size"), F.count(F.when(some, 1)).alias("k"), F.max("chain").alias("only"), F.sum(F.when(some, F.col("stab")).otherwise(0.0)).alias("stab1"),
+                F.sum(F.when(some, F.col("below")).otherwise(0.0)).alias("below1"), F.sum(F.when(some, best).otherwise(0.0)).alias("best"),
+            )
+            large, prolonged = F.col("size") >= min_size, F.col("k") == 1
+            merged = cut_lineage(
+                merged.select(
+                    F.col("r").alias("c"), "size", "k",
+                    F.when(large, F.when(prolonged, F.col("only")).otherwise(F.concat(F.lit(f"{lev}:"), F.col("r").cast("string")))).alias("chain"),
+                    F.when(prolonged, F.col("stab1")).otherwise(0.0).alias("stab"), F.when(prolonged, F.col("below1")).otherwise(F.col("best")).alias("below"),
+                )
+            )
+            into = merged.where("k > 1").select(F.col("c").alias("r"), F.col("chain").alias("parent"))
+            ended.append(old.where(some).join(into, "r").select("chain", "parent", "stab", "below"))
+            joined = nodes.join(root, "c", "left").withColumn("c", F.coalesce("r", "c")).drop("r")
+            now = merged.where(F.col("chain").isNotNull()).select("c", F.col("chain").alias("now"))
+            joined = joined.join(now, "c", "left")
+            fresh = F.col("chain").isNull() & F.col("now").isNotNull()
+            nodes = cut_lineage(joined.select("id", "c", F.when(fresh, F.lit(lev)).otherwise(F.col("persistence")).alias("persistence"), F.coalesce("chain", "now").alias("chain")))
+            comps = merged.drop("k")
+        comps = cut_lineage(comps.withColumn("stab", F.col("stab") + F.when(F.col("chain").isNotNull(), F.col("size")).otherwise(0)))
+    chains = comps.where(F.col("chain").isNotNull()).select("chain", none.alias("parent"), "stab", "below")
+    for e in ended:
+        chains = chains.unionByName(e)
+    chains = cut_lineage(chains)
+    own = F.when(F.col("stab") >= F.col("below"), F.col("chain"))
+    done = cut_lineage(chains.where("parent is null").select("chain", own.alias("owner")))
+    owners = done
+    while done.limit(1).count():  # a child's level is above its parent's: at most one turn per level
+        up = done.select(F.col("chain").alias("parent"), F.col("owner").alias("up"))
+        done = cut_lineage(chains.join(up, "parent").select("chain", F.coalesce("up", own).alias("owner")))
+        owners = owners.unionByName(done)
+    placed = nodes.where(F.col("chain").isNotNull()).join(owners.where(F.col("owner").isNotNull()), "chain").select("id", "owner", "persistence")
+    named = placed.groupBy("owner").agg(F.min("id").alias("cluster_id"))
+    return placed.join(named, "owner").select("id", "cluster_id", "persistence")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .clusters import density_clusters, describe_clusters
 from .encode import encode_corpus
+from .leaks import leaked_items, leaked_passages
 from .split import split_oversized
 from .vectors import nearest_vectors, neighbour_pairs
 
@@ -24,10 +26,27 @@ def p2_knn(spark: SparkSession, d: str) -> DataFrame:
     return nearest_vectors(table(spark, d, "cell_vectors"), queries=F.col("id") % 20 == 0)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return density_clusters(table(spark, d, "knn_to_geodesic_graph")).select(F.col("id").alias("vec_id"), "cluster_id")
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return describe_clusters(density_clusters(table(spark, d, "knn_to_geodesic_graph")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_proximity(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of at least 12 words with at most two words missing or changed between two."""
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), slop=2)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents")).where("piece_no = 0").select("doc_id")
 
@@ -36,6 +55,6 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_knn, p6_ids, p8_found, p8_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_knn, p3_found, p3_clusters, p6_ids, p7_found, p7_proximity, p8_found, p8_pieces)}
 
 SQL: dict[str, str] = {}
