@@ -21,6 +21,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the reliable checkpoint folder and read it from there.
+
+    A checkpointed plan keeps the size and the constraints estimated for its origin; over the
+    rounds of a loop these estimates grow beyond measure.  So the stored rows are given a plan that
+    knows their schema only; adaptive execution then sees their true sizes."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    stored = df.checkpoint(eager=True)._jdf
+    rows = stored.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, stored.schema(), False), spark)
