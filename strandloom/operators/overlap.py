@@ -43,7 +43,8 @@ def tile_matrix(frags: DataFrame, regions: DataFrame, mode: str = "insertions")
 def footprint(frags: DataFrame, motifs: DataFrame, cells: DataFrame, flank: int = 125, normalization_width: int | None = None) -> DataFrame:
     """``cell_group, position, n, enrichment``: weighted cut sites around motif centres
     (``chr, start, end, strand``), mirrored for minus strands.  ``cells``: ``cell_id, cell_group,
-    weight``.  The enrichment is against the mean of the outer bases of both sides."""
+    weight``.  The enrichment is
+    against the mean of the outer bases of both sides, null where that is 0."""
     width = flank // 10 if normalization_width is None else normalization_width
     centre = F.when(F.col("strand"), F.col("start")).otherwise(F.col("end") - 1)
     around = motifs.select("chr", (centre - flank).alias("start"), (centre + flank + 1).alias("end"), centre.alias("centre"), "strand")
@@ -55,7 +56,7 @@ def footprint(frags: DataFrame, motifs: DataFrame, cells: DataFrame, flank: int
     full = grid.join(found, ["cell_group", "position"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
     outer = F.abs("position") > flank - width
     base = F.avg(F.when(outer, F.col("n"))).over(Window.partitionBy("cell_group"))  # 2 * flank + 1 rows a group
-    return full.withColumn("enrichment", F.col("n") / base)
+    return full.withColumn("enrichment", F.try_divide(F.col("n"), base))
 
 
 def insertion_counts(frags: DataFrame, groups: DataFrame, mode: str = "both") -> DataFrame:

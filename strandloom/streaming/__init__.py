@@ -1,0 +1 @@
+"""Fragments that keep arriving."""
