@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc)
 
@@ -37,16 +38,22 @@ def poisson_quantile_value(p: float, mean: float) -> int:
     return k
 
 
-@F.pandas_udf("double")
+def _each_once(f, first: pd.Series, second: pd.Series) -> pd.Series:
+    """``f`` of each pair, worked out once for equal pairs: counts repeat a lot."""
+    known: dict[tuple, float] = {}
+    return pd.Series([known[k] if (k := (a, b)) in known else known.setdefault(k, f(a, b)) for a, b in zip(first, second)])
+
+
+@F.pandas_udf(T.DoubleType())
 def poisson_cdf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for q, mean in parts:
-        yield pd.Series([poisson_cdf_value(a, b) for a, b in zip(q, mean)])
+        yield _each_once(poisson_cdf_value, q, mean)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def poisson_quantile(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for p, mean in parts:
-        yield pd.Series([poisson_quantile_value(a, b) for a, b in zip(p, mean)])
+        yield _each_once(poisson_quantile_value, p, mean)
 
 
 def benjamini_hochberg(df: DataFrame, group: list[str], p: str, n: str | Column, out: str = "q") -> DataFrame:

@@ -166,6 +166,7 @@ def merge_ranked(df: DataFrame, rank: str) -> DataFrame:
     that overlap it go.  Each round removes the overlaps of all such ranges at once."""
     from ..session import cut_lineage
 
+    df = cut_lineage(df)  # read by every round
     mine = df.select("chr", "start", "end", F.col(rank).alias("k"))
     links = cut_lineage(range_join(mine, mine.withColumnRenamed("k", "o")).where("k < r_o").select("k", F.col("r_o").alias("o")))
     gone: list[DataFrame] = []
