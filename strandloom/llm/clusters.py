@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage
 from .condense import condensed_clusters, spanning_forest
 
-DIMS = 64
+DIMS = 32
 #: Signature values are whole numbers of -GRAIN..GRAIN, two of them in a byte.
 GRAIN = 7
 OWN_SHARE = 0.3
@@ -98,7 +98,7 @@ def _gather(first: bool):
             x = _start(batch.column(2).to_numpy()) if first else _unpack(batch.column(2))
             parts.append(_sums(batch.column(0).to_numpy(), x * batch.column(1).to_numpy().astype(np.float32)[:, None]))
             held += len(parts[-1][0])
-            if held > 200_000:  # no more than the nodes of the partition are kept
+            if held > 40_000:  # little more than the nodes of the partition are kept
                 parts = [_sums(*map(np.concatenate, zip(*parts)))]
                 held = 0
         if parts:
@@ -196,9 +196,10 @@ def _condense(min_size: int):
     return run
 
 
-def density_clusters(df: DataFrame, i: str = "i", j: str = "j", weight: str = "weight", min_size: int = 5, rounds: int = 6, core: int = 3, one_task: int = ONE_TASK) -> DataFrame:
+def density_clusters(df: DataFrame, i: str = "i", j: str = "j", weight: str = "weight", min_size: int = 5, rounds: int = 10, core: int = 3, one_task: int = ONE_TASK) -> DataFrame:
     """``id, cluster_id, persistence``: each node in a cluster; the cluster is named by its
-    smallest id."""
+    smallest id.  ``rounds`` should exceed the steps in which a walk mixes within a cluster, about
+    the logarithm of its size; more do no harm."""
     edges = cut_lineage(usable_edges(df, i, j, weight))
     reach = mutual_reachability(cut_lineage(signature_similarity(edges, rounds)), core)
     forest = boruvka_forest(reach, one_task)
