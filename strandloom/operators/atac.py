@@ -96,6 +96,7 @@ def gene_tiles(genes: DataFrame, chrom_sizes: DataFrame, tile_width: int = 500)
     sized = wide.join(gaps.select("gene_id", reach("upstream").alias("up"), reach("downstream").alias("down")), "gene_id").join(checked_broadcast(chrom_sizes.select("chr", "chr_size")), "chr", "left")
     low = F.greatest(F.lit(0), F.col("start") - F.when(F.col("strand"), F.col("up")).otherwise(F.col("down")))
     high = F.least(F.col("end") + F.when(F.col("strand"), F.col("down")).otherwise(F.col("up")), F.coalesce("chr_size", F.lit(2147483647)))
+    sized = sized.where(low < high)  # a gene beyond the end of its chromosome has no tiles
     tiles = sized.select("gene_id", "chr", "start", "end", "strand", F.explode(F.sequence(F.floor(low / tile_width).cast("int"), F.floor((high - 1) / tile_width).cast("int"))).alias("tile"))
     at = F.col("tile") * tile_width
     distance = F.when(at >= F.col("end"), at + 1 - F.col("end")).otherwise(F.least(F.lit(0), at + tile_width - 1 - F.col("start")))

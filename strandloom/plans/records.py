@@ -95,6 +95,15 @@ _CELL_ISLANDS = _ISLANDS.format(k="sample_id, cell_id, chr")
 
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_LINES} SELECT 'gtf' AS src, line_id FROM gtf_p WHERE NOT coalesce(ok, false) UNION ALL SELECT 'bed', line_id FROM bed_p WHERE NOT coalesce(ok, false)",
+    "p1_reasons": f"""WITH {_LINES}, g AS (SELECT 'gtf' AS src, CASE WHEN l IS NULL THEN 'null_line' WHEN len(f) <> 9 THEN 'field_count'
+ WHEN NOT regexp_full_match(f[4], '[0-9]+') THEN 'start_not_digits' WHEN NOT regexp_full_match(f[5], '[0-9]+') THEN 'end_not_digits' WHEN f[4]::HUGEINT < 1 THEN 'start_too_small'
+ WHEN greatest(f[4]::HUGEINT, f[5]::HUGEINT) > 2147483647 THEN 'position_too_large' WHEN f[4]::HUGEINT > f[5]::HUGEINT THEN 'start_after_end'
+ WHEN contains(f[9], '"') THEN 'attributes_quoting' ELSE 'attributes_form' END AS reason FROM gtf_p WHERE NOT coalesce(ok, false)),
+ s AS (SELECT *, string_split(l, chr(9)) AS p FROM bed_p WHERE NOT coalesce(ok, false)),
+ b AS (SELECT 'bed' AS src, CASE WHEN l IS NULL THEN 'null_line' WHEN len(p) < 4 THEN 'field_count' WHEN NOT regexp_full_match(p[2], '[0-9]+') THEN 'start_not_digits'
+ WHEN NOT regexp_full_match(p[3], '[0-9]+') THEN 'end_not_digits' WHEN greatest(p[2]::HUGEINT, p[3]::HUGEINT) > 2147483647 THEN 'position_too_large'
+ WHEN p[2]::HUGEINT >= p[3]::HUGEINT THEN 'start_after_end' WHEN len(p) > 4 AND NOT starts_with(p[4], '"') THEN 'field_count' ELSE 'name_quoting' END AS reason FROM s)
+ SELECT src, reason, count(*) AS n_lines FROM (FROM g UNION ALL FROM b) GROUP BY ALL""",
     "p1_gtf_records": f"""WITH {_LINES} SELECT line_id, f[1] AS chr, f[2] AS source, f[3] AS feature, f[4]::INT AS start, f[5]::INT AS "end",
  f[6] AS score, f[7] AS strand, f[8] AS frame, f[9] AS attributes FROM gtf_p WHERE ok""",
     "p1_bed_records": f'WITH {_LINES} SELECT line_id, f.c AS chr, f.s::INT AS start, f.e::INT AS "end", f.n AS name FROM bed_p WHERE ok',

@@ -283,17 +283,35 @@ def a13_call_peaks(spark, d):
     return atac.call_peaks(a.frags(spark, d), a.chrom_sizes(spark, d), a.cell_groups(spark, d), peak_width=2000, merge="all")
 
 
-@query()
+# the tiles of genes: 5 kb upstream, then up to the next gene, 1 to 100 kb
+_TILES = views("genes", "sizes", "bl") + """, w AS (SELECT gene_id, chr, greatest(0, start - CASE WHEN strand THEN 5000 ELSE 0 END) AS s, least("end" + CASE WHEN strand THEN 0 ELSE 5000 END, coalesce(chr_size, 2147483647)) AS e, strand FROM genes LEFT JOIN sizes USING (chr)),
+nested AS (SELECT DISTINCT x.gene_id FROM w x JOIN w y ON x.chr = y.chr AND x.gene_id <> y.gene_id AND x.s >= y.s AND x.e <= y.e AND x.s < y.e AND y.s < x.e AND (y.e - y.s > x.e - x.s OR y.gene_id < x.gene_id)),
+free AS (SELECT gene_id, strand, greatest(0, coalesce(s + 1 - lag(e) OVER o, 'inf'::DOUBLE)) AS b, greatest(0, coalesce(lead(s) OVER o + 1 - e, 'inf'::DOUBLE)) AS n FROM w WHERE gene_id NOT IN (FROM nested) WINDOW o AS (PARTITION BY chr ORDER BY s, e, gene_id)),
+gap AS (SELECT gene_id, CASE WHEN strand THEN b ELSE n END AS up, CASE WHEN strand THEN n ELSE b END AS down FROM free UNION ALL SELECT gene_id, 0, 0 FROM nested),
+x AS (SELECT gene_id, least(greatest(up - {w}, 1000), 100000)::INT AS up, least(greatest(down - {w}, 1000), 100000)::INT AS down FROM gap),
+r AS (SELECT w.gene_id, w.chr, s, e, strand, greatest(0, s - CASE WHEN strand THEN up ELSE down END) AS low, least(e + CASE WHEN strand THEN down ELSE up END, coalesce(chr_size, 2147483647)) AS high FROM w JOIN x USING (gene_id) LEFT JOIN sizes ON w.chr = sizes.chr),
+t AS (SELECT gene_id, chr, s, e, strand, unnest(range(low // {w}, (high - 1) // {w} + 1))::INT AS tile FROM r),
+gt AS (SELECT gene_id, chr, tile, ((CASE WHEN tile * {w} >= e THEN tile * {w} + 1 - e ELSE least(0, tile * {w} + {w} - 1 - s) END) * CASE WHEN strand THEN 1 ELSE -1 END)::INT AS distance FROM t)"""
+_WEIGHTS = _TILES + """, i AS (SELECT gene_id, 1.0::DOUBLE / ("end" - start + 5000) AS inv FROM genes), h AS (SELECT max(inv) AS hi, min(inv) AS lo FROM i),
+gw AS (SELECT gene_id, chr, tile, (exp(-abs(distance - sign(distance)) / 5000.0::DOUBLE) + exp(-1.0::DOUBLE)) * CASE WHEN hi > lo THEN 1 + inv * 4 / (hi - lo) ELSE 1 END AS weight FROM gt JOIN i USING (gene_id), h
+ WHERE NOT EXISTS (SELECT 1 FROM bl WHERE bl.chr = gt.chr AND bl.start < (gt.tile + 1) * {w} AND bl."end" > gt.tile * {w}))"""
+
+
+@query(
+    _WEIGHTS.replace("{w}", "500") + ", " + a.VIEWS["frags"] + ", " + a.VIEWS["sites"] + """, n AS (SELECT s.chr, (pos // 500)::INT AS tile, cell_id, least(count(*), 4) AS n FROM sites s JOIN sizes USING (chr) WHERE pos < chr_size GROUP BY ALL),
+ sc AS (SELECT gene_id, cell_id, sum(n * weight) AS score FROM n JOIN gw USING (chr, tile) GROUP BY ALL) SELECT gene_id, cell_id, round(score * 10000 / sum(score) OVER (PARTITION BY cell_id), 6) AS score FROM sc"""
+)
 def a15_gene_scores(spark, d):
-    return atac.gene_scores(a.frags(spark, d), a.genes(spark, d), a.chrom_sizes(spark, d), a.blacklist(spark, d))
+    out = atac.gene_scores(a.frags(spark, d), a.genes(spark, d), a.chrom_sizes(spark, d), a.blacklist(spark, d))
+    return out.withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_WEIGHTS.replace("{w}", "5000") + " SELECT gene_id, chr, tile, round(weight, 9) AS weight FROM gw")
 def a16_gene_weights(spark, d):
-    return atac.gene_weights(a.genes(spark, d), a.chrom_sizes(spark, d), a.blacklist(spark, d), tile_width=5000)
+    return atac.gene_weights(a.genes(spark, d), a.chrom_sizes(spark, d), a.blacklist(spark, d), tile_width=5000).withColumn("weight", F.round("weight", 9))
 
 
-@query()
+@query(_TILES.replace("{w}", "5000") + " SELECT * FROM gt")
 def a17_gene_tiles(spark, d):
     return atac.gene_tiles(a.genes(spark, d), a.chrom_sizes(spark, d), tile_width=5000)
 

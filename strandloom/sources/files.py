@@ -97,8 +97,8 @@ def read_matrix_market(spark: SparkSession, path: str) -> SparseMatrix:
     first = body.orderBy("at").limit(1).collect()[0]
     nrow, ncol, _ = map(int, first["value"].split())
     parts = F.split(F.trim("value"), r"\s+")
-    val = F.lit(1.0) if words[3] == "pattern" else parts[2].cast("double")
-    e = body.where(F.col("at") != first["at"]).select((parts[0].cast("bigint") - 1).alias("row"), (parts[1].cast("bigint") - 1).alias("col"), val.alias("val"))
+    val = F.lit(1.0) if words[3] == "pattern" else F.get(parts, F.lit(2)).cast("double")
+    e = body.where(F.col("at") != first["at"]).select((F.get(parts, F.lit(0)).cast("bigint") - 1).alias("row"), (F.get(parts, F.lit(1)).cast("bigint") - 1).alias("col"), val.alias("val"))
     return SparseMatrix.of(e, nrow, ncol)
 
 
@@ -106,7 +106,7 @@ def read_matrix_10x(spark: SparkSession, folder: str, feature_type: str | None =
     """The matrix, its features (``row, feature_id, name, feature_type``) and barcodes (``col,
     barcode``); with a feature type only rows of it, renumbered."""
     m = read_matrix_market(spark, f"{folder}/matrix.mtx.gz" if Path(f"{folder}/matrix.mtx.gz").exists() else f"{folder}/matrix.mtx")
-    f = _numbered(spark, folder, "features.tsv").select(F.col("at").alias("row"), *[F.col("p")[k].alias(n) for k, n in enumerate(("feature_id", "name", "feature_type"))])
+    f = _numbered(spark, folder, "features.tsv").select(F.col("at").alias("row"), *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("feature_id", "name", "feature_type"))])
     b = _numbered(spark, folder, "barcodes.tsv").select(F.col("at").alias("col"), F.col("value").alias("barcode"))
     if feature_type is not None:
         keep = [r[0] for r in f.where(F.col("feature_type") == feature_type).orderBy("row").select("row").collect()]
@@ -117,7 +117,7 @@ def read_matrix_10x(spark: SparkSession, folder: str, feature_type: str | None =
 
 def _numbered(spark: SparkSession, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}.gz" if Path(f"{folder}/{name}.gz").exists() else f"{folder}/{name}"
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("at", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "(\r?\n)+$", ""), "\r?\n")).alias("at", "value"))
     return lines.select(F.col("at").cast("bigint").alias("at"), "value", F.split("value", "\t").alias("p"))
 
 
