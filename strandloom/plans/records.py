@@ -85,7 +85,7 @@ bed_f AS (SELECT *, regexp_extract(l, '^([^\t]*)\t([0-9]+)\t([0-9]+)\t([^"\t]*|"
    FROM bed_l WHERE l IS NULL OR NOT (regexp_full_match(l, '\s*') OR starts_with(l, '#') OR starts_with(l, 'track') OR starts_with(l, 'browser'))),
 bed_p AS (SELECT *, CASE WHEN m THEN f.s::HUGEINT < f.e::HUGEINT AND f.e::HUGEINT <= 2147483647 ELSE false END AS ok FROM bed_f)
 """.replace("ATTR", _ATTR)
-_OK = '''ok AS (SELECT sample_id, cell_id, chr, start, "end" AS e FROM fragments
+_OK = '''ok AS (SELECT DISTINCT sample_id, cell_id, chr, start, "end" AS e FROM fragments
  WHERE sample_id IS NOT NULL AND cell_id IS NOT NULL AND chr IS NOT NULL AND start IS NOT NULL AND "end" > start)'''
 _ISLANDS = """
 r AS (SELECT *, max(e) OVER (PARTITION BY {k} ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ok),
@@ -111,7 +111,7 @@ SQL: dict[str, str] = {
  SELECT sample_id, cell_id, chr, 'period' AS kind, f AS from_pos, t AS to_pos FROM p
  UNION ALL SELECT * FROM (SELECT sample_id, cell_id, chr, 'gap', t, lead(f) OVER (PARTITION BY sample_id, cell_id, chr ORDER BY f) AS n FROM p) WHERE n IS NOT NULL""",
     "p4_covered": f"WITH {_OK}, {_CELL_ISLANDS} SELECT sample_id, cell_id, chr, count(*) AS n_periods, sum(t - f)::BIGINT AS covered FROM p GROUP BY ALL",
-    "p4_chr_covered": f"""WITH ok AS (SELECT chr, start, "end" AS e FROM fragments WHERE chr IS NOT NULL AND start IS NOT NULL AND "end" > start), {_ISLANDS.format(k='chr')}
+    "p4_chr_covered": f"""WITH ok AS (SELECT DISTINCT chr, start, "end" AS e FROM fragments WHERE chr IS NOT NULL AND start IS NOT NULL AND "end" > start), {_ISLANDS.format(k='chr')}
  SELECT chr, count(*) AS n_periods, sum(t - f)::BIGINT AS covered FROM p GROUP BY ALL""",
     "p5_found": """SELECT 'cell_id' AS field_name, cell_id AS key_value FROM fragments WHERE cell_id IS NOT NULL GROUP BY cell_id HAVING count(*) >= 0.02 * (SELECT count(*) FROM fragments)
  UNION ALL SELECT 'chr', chr FROM fragments WHERE chr IS NOT NULL GROUP BY chr HAVING count(*) >= 0.08 * (SELECT count(*) FROM fragments)""",
