@@ -218,6 +218,6 @@ def describe_clusters(nodes: DataFrame, exemplars: int = 3) -> DataFrame:
     """``cluster_id, n_members, exemplars``: the members that persist to the finest levels, ties to
     the smaller id."""
     best = nodes.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("persistence"), "id"))).where(F.col("r") <= exemplars)
-    top = best.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("x"))
+    top = best.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("r", "id"))).alias("x"))
     size = nodes.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_members"))
     return size.join(top, "cluster_id").select("cluster_id", "n_members", F.col("x.id").alias("exemplars"))

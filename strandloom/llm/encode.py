@@ -229,7 +229,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         parts = refs.join(F.broadcast(keys), "digest", "left_anti").join(coded, "digest").unionByName(common)
     else:
         parts = refs.join(coded, "digest")
-    parts = parts.groupBy("id", "rid").agg(F.array_sort(F.collect_list(F.struct("seq", "ids", "head", "n_head", "tail", "n_tail"))).alias("chunks"))
+    parts = parts.groupBy("id", "rid").agg(F.sort_array(F.collect_list(F.struct("seq", "ids", "head", "n_head", "tail", "n_tail"))).alias("chunks"))
     ids = parts.select("id", "chunks").mapInArrow(_joiner(folder), f"id {id_type}, ids array<int>")
     return ids.select(F.col("id").alias(id_col), "ids")
 

@@ -103,7 +103,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     of_window = Window.partitionBy("iid", "w")
     ranked = in_window.withColumn("r", F.row_number().over(by_rarity)).withColumn("found", F.count(F.lit(1)).over(of_window))
     least = n_words if slop == 0 else 2  # words that the corpus lacks end an exact window
-    two = ranked.where((F.col("r") <= 2) & (F.col("found") >= least)).groupBy("iid", "item", "w").agg(F.array_sort(F.collect_list(F.struct("ipos", "term"))).alias("t")).where(F.size("t") == 2)
+    two = ranked.where((F.col("r") <= 2) & (F.col("found") >= least)).groupBy("iid", "item", "w").agg(F.sort_array(F.collect_list(F.struct("ipos", "term"))).alias("t")).where(F.size("t") == 2)
     lookups = cut_lineage(
         two.select("iid", "item", F.col("t")[0]["ipos"].alias("ipos"), F.col("t")[0]["term"].alias("t1"), (F.col("t")[1]["ipos"] - F.col("t")[0]["ipos"]).alias("gap"), F.col("t")[1]["term"].alias("t2")).distinct()
     )

@@ -154,12 +154,12 @@ def _with_copies(asking: DataFrame, one: DataFrame, reps: DataFrame, found: Data
     several = reps.where("copies > 1").select("vec", F.col("id").alias("rep"))
     members = one.join(several, "vec").select("rep", "id")
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
-    few = first.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # at most k + 1
+    few = first.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most k + 1
     pairs = found.select("id", F.inline(F.arrays_zip("near", "dist"))).unionByName(several.select(F.col("rep").alias("id"), F.col("rep").alias("near"), F.lit(0.0).alias("dist")))
     wide = pairs.join(few, pairs["near"] == few["rep"], "left")
     wide = wide.select("id", "dist", F.explode(F.coalesce("ids", F.array("near"))).alias("near"))
     best = wide.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("dist", "near"))).where(F.col("r") <= k + 1)
-    best = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "near"))).alias("all"))
+    best = best.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("dist", "near"))).alias("all"))
     single = reps.where("copies = 1 and asks").select("id", F.col("id").alias("rep"))
     asks = single.unionByName(asking.join(several, "vec").select("id", "rep"))
     own = asks.join(best.withColumnRenamed("id", "rep"), "rep").select("id", F.slice(F.filter("all", lambda x: x["near"] != F.col("id")), 1, k).alias("x"))

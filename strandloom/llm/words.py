@@ -15,12 +15,24 @@ import unicodedata
 # Elements that stand on lines of their own, after which a new word begins.
 _BLOCK = "address|article|blockquote|br|center|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|tr|ul"
 _BLOCK_TAG = re.compile(rf"</?(?:{_BLOCK})(?:\s[^<>]*|\s*/)?>", re.I)
-_TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*|\s*/)?>|<!--.*?-->|<![^<>]*>|<\|[a-z_]+\|>", re.I | re.S)
+_TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*|\s*/)?>|<![^<>]*>|<\|[a-z_]+\|>", re.I)
 _BRACKET_BLOCK = re.compile(r"\[/?(?:quote|code|list|table|tr|td|th|center|hr|br|\*)(?:=[^\[\]\n]*)?\]", re.I)
 _BRACKET = re.compile(r"\[/?[a-z]+(?:=[^\[\]\n]*)?\]|\[/?[a-z]+(?: [a-z]+=[^\[\]\n]*)\]", re.I)
 _CURLY = re.compile(r"\{\{[^{}\n]*\}\}")
 _NOT_KEPT = re.compile(r"[^\w\s]|_")
-_WORD = re.compile(r"\S+")
+
+
+def _without_comments(text: str) -> str:
+    """Markup comments that are closed vanish; searched from left to right once."""
+    parts, at = [], 0
+    while (a := text.find("<!--", at)) >= 0 and (b := text.find("-->", a + 4)) >= 0:
+        parts.append(text[at:a])
+        at = b + 3
+    return "".join(parts) + text[at:] if parts else text[at:]
+
+
+def _without_tags(text: str) -> str:
+    return _TAG.sub("", _BLOCK_TAG.sub(" ", _without_comments(text)))
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -28,11 +40,11 @@ def plain_words(text: str | None) -> list[str]:
     if not text:
         return []
     if "<" in text:
-        text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
+        text = _without_tags(text)
     if "&" in text:
         text = html.unescape(text)
         if "<" in text:
-            text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
+            text = _without_tags(text)
     if "[" in text:
         text = _BRACKET.sub("", _BRACKET_BLOCK.sub(" ", text))
     if "{{" in text:

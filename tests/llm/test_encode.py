@@ -9,7 +9,7 @@ from strandloom.llm.tokens import tokenizer
 
 TEXTS = [
     None, "", " ", "\n\n", "a", "it's we'll  they'Ve", "<|endoftext|> is text", "x" * 30000, " " * 5000, "日本語の文章" * 900,
-    "a\x1cb \x85c​d e", "word " * 4000, "tab\t\tand  \n spaces   " * 300, "🙂🙃" * 700, "'" * 3000 + "ll",
+    "a b" + " " * 40000 + "c  \n" + "\n" * 30000, "x" + " \t\u3000" * 9000 + "\ny" + " " * 2500 + "'ll", "a\x1cb \x85c​d e", "word " * 4000, "tab\t\tand  \n spaces   " * 300, "🙂🙃" * 700, "'" * 3000 + "ll",
 ]
 
 
@@ -53,3 +53,9 @@ def test_agrees_with_the_other_library():
     tok = tokenizer()
     for t in filter(None, TEXTS):
         assert other.encode(t, add_special_tokens=False).ids == tok.encode(t)
+
+
+def test_very_long_runs():
+    tok = tokenizer()
+    for text in (" " * 1_000_000, "a" + "\n" * 500_000 + "b", "x" * 1_000_000, "日本" * 200_000):
+        assert tok.decode(tok.encode(text)).decode() == text

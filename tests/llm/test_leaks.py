@@ -14,7 +14,7 @@ from strandloom.llm.words import plain_words
         ("The Gl⁠aCier", ["the", "glacier"]), ("wi­nd​mill", ["windmill"]), ("ﬁne Ｆｕｌｌ １２", ["fine", "full", "12"]),
         ("[b]in[/b] [color=red]a[/color] [i]b[/i]c", ["in", "a", "bc"]), ("a<br>b <i>c</i>d", ["a", "b", "cd"]),
         ("> x\n> > y &quot;z&quot;&nbsp;w &lt;b&gt;v", ["x", "y", "z", "w", "v"]), ("don't “stop”", ["dont", "stop"]), ("1 < 2 [1] a", ["1", "2", "1", "a"]),
-        ("STRASSE straße", ["strasse", "strasse"]), ("{{attach:3}} k", ["k"]),
+        ("STRASSE straße", ["strasse", "strasse"]), ("{{attach:3}} k", ["k"]), ("a <!-- b <i> --> c <!-- d", ["a", "c", "d"]), ("<!--" * 50000 + "x", ["x"]),
     ],
 )
 def test_words(text, words):
