@@ -35,13 +35,18 @@ def feature_table(m: SparseMatrix, features: list[int]) -> DataFrame:
 def knee_points(counts: DataFrame, value: str, points: int = 1000, cutoff: float | None = None) -> DataFrame:
     """``rank, reads`` at up to ``points`` ranks of equal steps in the logarithm, most reads first.
 
-    Ranks come from value frequencies, so no task sorts all rows."""
-    freq = counts.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("reads")).agg(F.count(F.lit(1)).alias("n"))
-    upto = freq.select("reads", F.sum("n").over(Window.orderBy(F.desc("reads")).rowsBetween(Window.unboundedPreceding, 0)).alias("last"), "n")
+    Ranks come from value frequencies in two steps, blocks of adjacent values and values in a
+    block, so no task sorts all rows or all values."""
+    freq = counts.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("reads")).agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.floor(F.col("reads") / 1024))
+    blocks = freq.groupBy("b").agg(F.sum("n").alias("m"))
+    start = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    placed = freq.join(blocks.select("b", F.coalesce(F.sum("m").over(start), F.lit(0)).alias("before")), "b")
+    inside = Window.partitionBy("b").orderBy(F.desc("reads")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = placed.select("reads", (F.col("before") + F.sum("n").over(inside)).alias("last"), "n")
     total = freq.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"))
     step = F.log(F.greatest(F.col("t"), F.lit(1)).cast("double")) / (points - 1)
     ranks = total.where("t > 0").select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.round(F.exp(k * step)).cast("bigint")))).alias("rank"))
-    out = upto.join(F.broadcast(ranks), (F.col("rank") <= F.col("last")) & (F.col("rank") > F.col("last") - F.col("n"))).select("rank", "reads")
+    out = upto.join(F.broadcast(ranks), (F.col("rank") <= F.col("last")) & (F.col("rank") > F.col("last") - F.col("n"))).select("rank", "reads")  # at most ``points`` ranks
     return out if cutoff is None else out.withColumn("over_cutoff", F.col("reads") >= cutoff)
 
 

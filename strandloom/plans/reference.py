@@ -444,12 +444,13 @@ def t12_shifted_product(spark, d):
     return _shifted(spark, d).times_vector(a.col_vector(spark, d)).select("idx", F.round("v", 6).alias("v"))
 
 
-@query(f"""{views('m', 'rv', 'cv')} SELECT rv.r AS row, cv.c AS col, round(least(greatest((coalesce(v, 0) - 0.01 * (rv.x + 1) * cv.x) * least(1 / sqrt(0.01 * (rv.x + 1) * cv.x + (0.01 * (rv.x + 1) * cv.x) ** 2 / 2.0), 5.0), -2.0), 8.0)::DOUBLE, 8) AS val
- FROM rv CROSS JOIN cv LEFT JOIN m ON m.r = rv.r AND m.c = cv.c WHERE rv.r < 40""")
+@query(f"""{views('m', 'rv', 'cv')}, z AS (SELECT rv.r, least(greatest((coalesce(v, 0) - 0.01 * (rv.x + 1) * cv.x) * least(1 / sqrt(0.01 * (rv.x + 1) * cv.x + (0.01 * (rv.x + 1) * cv.x) ** 2 / 2.0), 5.0), -2.0), 8.0)::DOUBLE AS v
+ FROM rv CROSS JOIN cv LEFT JOIN m ON m.r = rv.r AND m.c = cv.c) SELECT r AS row, round(avg(v), 7) AS mean, round(var_samp(v), 6) AS variance FROM z GROUP BY r""")
 def t14_pearson_residuals(spark, d):
-    g = a.row_vector(spark, d).where("idx < 40").select("idx", F.lit(2.0).alias("theta"), (0.01 * (F.col("v") + 1)).alias("beta"))
-    out = linalg.pearson_residuals(a.counts(spark, d), g, a.col_vector(spark, d).select("idx", F.col("v").alias("reads")), min_var=0.04, clip=(-2.0, 8.0))
-    return out.select("row", "col", F.round("val", 8).alias("val"))
+    g = a.row_vector(spark, d).select("idx", F.lit(2.0).alias("theta"), (0.01 * (F.col("v") + 1)).alias("beta"))
+    cells = a.col_vector(spark, d).select("idx", F.col("v").alias("reads"))
+    out = linalg.pearson_residual_stats(a.counts(spark, d), g, cells, min_var=0.04, clip=(-2.0, 8.0))
+    return out.select("row", F.round("mean", 7).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
 @query(f"""{views('m', 'cv', 'dims')}, k AS (SELECT count(*) AS n, avg(x) AS mx, sum((x - (SELECT avg(x) FROM cv)) ** 2) AS sxx FROM cv),
@@ -719,7 +720,9 @@ def a22_tss_profile(spark, d):
 @query()
 def l11_smoothed_features(spark, d):
     m = a.counts(spark, d)
-    links = matrix.SparseMatrix.of(m.entries.where("row < 50").alias("a").join(m.entries.where("row < 50").alias("b"), "row").select(F.col("a.col").alias("row"), F.col("b.col").alias("col"), F.lit(1.0).alias("val")), m.ncol, m.ncol)
+    near = F.explode(F.sequence(F.lit(0), F.lit(4)))
+    ring = m.cols().select("col", near.alias("k")).select(((F.col("col") + F.col("k")) % m.ncol).alias("row"), "col", F.lit(1.0).alias("val"))
+    links = matrix.SparseMatrix.of(ring, m.ncol, m.ncol)
     return plotdata.smoothed_features(m, [0, 3], links)
 
 
