@@ -34,8 +34,8 @@ def _boundaries(grouped: DataFrame, keys: list[str], packed: bool) -> DataFrame:
         start, end = (lambda x: x["__s"]), (lambda x: x["__t"])
     rows = grouped.select(
         *keys,
-        F.array_sort(F.transform("__set", lambda x: start(x))).alias("__starts"),
-        F.array_sort(F.transform("__set", lambda x: end(x))).alias("__ends"),
+        F.sort_array(F.transform("__set", lambda x: start(x))).alias("__starts"),
+        F.sort_array(F.transform("__set", lambda x: end(x))).alias("__ends"),
     )
     ranks = F.when(F.size("__starts") > 1, F.sequence(F.lit(1), F.size("__starts") - 1)).otherwise(F.array().cast("array<int>"))
     return rows.withColumn("__gaps", F.filter(ranks, lambda i: F.get("__starts", i) > F.get("__ends", i - 1)))
