@@ -49,22 +49,19 @@ def key_profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def heavy_keys(df: DataFrame, shares: dict[str, float]) -> DataFrame:
     """``field_name, key_value``: the values that hold at least the given share of all rows.
 
-    ``shares`` names the fields, usually two.  Their joint frequencies are counted once, and each
-    field's totals come from the weighted rows.  Nulls count as rows but are no value.
+    ``shares`` names the fields, usually two.  Their joint frequencies are counted once, and all
+    fields' totals come from the weighted rows.  Nulls count as rows but are no value.
     """
     inner = [f"__k{k}" for k in range(len(shares))]
     weighted = df.select(*[F.col(c).alias(i) for c, i in zip(shares, inner)]).groupBy(*inner).agg(F.count(F.lit(1)).alias("__n"))
-    total = weighted.agg(F.sum("__n").alias("__all"))  # one row
-    parts = [
-        weighted.groupBy(F.col(i).alias("__key"))
-        .agg(F.sum("__n").alias("__n"))
-        .where(F.col("__key").isNotNull())
-        .crossJoin(F.broadcast(total))
-        .where(F.col("__n") >= F.lit(share) * F.col("__all"))
-        .select(F.lit(f).alias("field_name"), F.col("__key").cast("string").alias("key_value"))
+    fields = [
+        F.struct(F.lit(f).alias("field_name"), F.col(i).cast("string").alias("key_value"), F.lit(float(share)).alias("__share"))
         for i, (f, share) in zip(inner, shares.items())
     ]
-    return reduce(DataFrame.unionByName, parts)
+    sums = weighted.select(F.inline(F.array(*fields)), "__n").groupBy("field_name", "key_value", "__share").agg(F.sum("__n").alias("__n"))
+    total = df.agg(F.count(F.lit(1)).alias("__all"))  # one row, of no column
+    heavy = sums.where(F.col("key_value").isNotNull()).crossJoin(F.broadcast(total))
+    return heavy.where("__n >= __share * __all * (1 - 1e-12D)").select("field_name", "key_value")
 
 
 def weighted_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float], width: int = 4096) -> DataFrame:
