@@ -210,6 +210,11 @@ def communities(graph: DataFrame, resolution: float = 1.0, objective: str = "mod
     return e.withColumn("__one", F.lit(1)).groupBy("__one").applyInArrow(_communities(resolution, seed, objective == "CPM", method == "leiden"), "id bigint, community bigint")
 
 
+def cluster_seurat(graph: DataFrame, resolution: float = 0.8, seed: int = 12531) -> DataFrame:
+    """Communities by plain local moves at the resolution usual in that tool."""
+    return communities(graph, resolution, seed=seed, method="louvain")
+
+
 def modularity(graph: DataFrame, labels: DataFrame) -> DataFrame:
     """One row ``modularity`` of a labelling ``id, community``."""
     e = graph.where("i <> j").groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("weight").alias("w"))

@@ -68,6 +68,11 @@ class SparseMatrix:
         e = self.entries.where((F.col("col") >= a) & (F.col("col") < b))
         return SparseMatrix(e.withColumn("col", F.col("col") - a), self.nrow, b - a)
 
+    def __getitem__(self, key) -> "SparseMatrix":
+        """Indexing as of arrays: numbers, slices, lists, masks and an ellipsis, also negative."""
+        rows, cols = normalize_index(key, (self.nrow, self.ncol))
+        return self.select(rows, cols)
+
     def assign(self, rows: list[int], cols: list[int], value: "SparseMatrix") -> "SparseMatrix":
         """The matrix with the submatrix at ``rows, cols`` replaced."""
         if (value.nrow, value.ncol) != (len(rows), len(cols)):
@@ -209,6 +214,15 @@ class SparseMatrix:
             add = add + F.coalesce("__r", F.lit(0.0)) * F.col("__s")
         return out.select("idx", (F.col("v") + add).alias("v"))
 
+    def times_dense(self, dense: DataFrame, k: int) -> DataFrame:
+        """``idx, vector`` of the product with a dense matrix given as rows ``idx, vector`` of k
+        numbers; rows without entries are zero."""
+        self._plain("a product")
+        wide = self.entries.join(checked_broadcast(dense), F.col("col") == F.col("idx"))
+        sums = wide.groupBy("row").agg(*[F.sum(F.col("val") * F.get("vector", F.lit(c))).alias(f"c{c}") for c in range(k)])
+        out = self.rows().join(sums, "row", "left")
+        return out.select(F.col("row").alias("idx"), F.array(*[F.coalesce(f"c{c}", F.lit(0.0)) for c in range(k)]).alias("vector"))
+
     def multiply(self, other: "SparseMatrix") -> "SparseMatrix":
         """The product of two sparse matrices: a join on the inner index, added up."""
         self._plain("a product")
@@ -224,6 +238,65 @@ class SparseMatrix:
         return replace(self, entries=self.entries.persist())
 
 
+def normalize_index(key, shape: tuple[int, int]) -> tuple[list[int] | None, list[int] | None]:
+    """The rows and columns that an index names; None is all of them."""
+    parts = list(key) if isinstance(key, tuple) else [key]
+    if parts.count(Ellipsis) > 1 or len(parts) - parts.count(Ellipsis) > 2:
+        raise IndexError("too many indexes")
+    if Ellipsis in parts:
+        at = parts.index(Ellipsis)
+        parts[at : at + 1] = [slice(None)] * (3 - len(parts))
+    parts += [slice(None)] * (2 - len(parts))
+    return tuple(_one_index(p, n) for p, n in zip(parts, shape))  # type: ignore[return-value]
+
+
+def _one_index(part, n: int) -> list[int] | None:
+    if isinstance(part, slice):
+        return None if part == slice(None) else list(range(*part.indices(n)))
+    values = [part] if isinstance(part, int) and not isinstance(part, bool) else list(part)
+    if values and all(isinstance(v, bool) or type(v).__name__ in ("bool_", "bool") for v in values):
+        if len(values) != n:
+            raise IndexError("a mask must be as long as its axis")
+        return [k for k, v in enumerate(values) if v]
+    if any(not -n <= v < n for v in values):
+        raise IndexError("an index is out of bounds")
+    return [int(v) % n for v in values]
+
+
+def named_entries(m: SparseMatrix, row_names: DataFrame, col_names: DataFrame) -> DataFrame:
+    """``row_name, col_name, val``: names (``idx, name``) joined last; missing ones are null."""
+    r = row_names.select(F.col("idx").alias("row"), F.col("name").alias("row_name"))
+    c = col_names.select(F.col("idx").alias("col"), F.col("name").alias("col_name"))
+    return m.entries.join(checked_broadcast(r), "row", "left").join(checked_broadcast(c), "col", "left").select("row_name", "col_name", "val")
+
+
+def rows_by_name(m: SparseMatrix, names: list[str], row_names: DataFrame) -> SparseMatrix:
+    """Rows in the order of ``names``; a name that is missing or not unique raises."""
+    found: dict[str, list[int]] = {}
+    for r in row_names.where(F.col("name").isin(names)).select("name", "idx").collect():
+        found.setdefault(r["name"], []).append(r["idx"])
+    if any(len(found.get(n, ())) != 1 for n in names):
+        raise KeyError("names must each belong to one row")
+    return m.select(rows=[found[n][0] for n in names])
+
+
+def apply_by(m: SparseMatrix, axis: str, fn, schema: str) -> DataFrame:
+    """``fn(index, other, val) -> dict`` of the fields of ``schema`` for every row or column, also
+    empty ones, from the positions and values of its entries; the result has the index too."""
+    import pandas as pd
+
+    other = "col" if axis == "row" else "row"
+    every = m.rows() if axis == "row" else m.cols()
+    full = every.join(m.entries, axis, "left")
+
+    def run(group: "pd.DataFrame") -> "pd.DataFrame":
+        some = group[group["val"].notna()]
+        index = int(group[axis].iloc[0])
+        return pd.DataFrame([{axis: index, **fn(index, some[other].to_numpy("int64"), some["val"].to_numpy())}])
+
+    return full.groupBy(axis).applyInPandas(run, f"{axis} bigint, {schema}")
+
+
 def _bind(parts: tuple[SparseMatrix, ...], axis: str) -> SparseMatrix:
     other = "ncol" if axis == "row" else "nrow"
     parts = tuple(p for p in parts if (p.nrow if axis == "row" else p.ncol))

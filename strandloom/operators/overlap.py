@@ -90,6 +90,22 @@ def region_coverage(frags: DataFrame, regions: DataFrame, groups: DataFrame, bin
     return hits.groupBy(F.col("r_region_id").alias("region_id"), "cell_group", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts_in_regions(counts: DataFrame, regions: DataFrame, bin_size: int = 1) -> DataFrame:
+    """``region_coverage`` from stored counts per base (``cell_group, chr, pos, n``)."""
+    hits = points_in_ranges(counts, "pos", regions.select("region_id", "chr", "start", "end"))
+    at = F.floor((F.col("pos") - F.col("r_start")) / bin_size).cast("int")
+    return hits.groupBy(F.col("r_region_id").alias("region_id"), "cell_group", at.alias("bin")).agg(F.sum("n").alias("n"))
+
+
+def tile_offsets(chrom_sizes: DataFrame, tile_width: int) -> DataFrame:
+    """``chr, first_tile, n_tiles``: where each chromosome's tiles begin in one numbering of all,
+    chromosomes by name.  One row a chromosome."""
+    n = F.ceil(F.col("chr_size") / tile_width)
+    t = chrom_sizes.select("chr", n.alias("n_tiles"))
+    before = Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)
+    return t.select("chr", F.coalesce(F.sum("n_tiles").over(before), F.lit(0)).alias("first_tile"), "n_tiles")
+
+
 def track_coverage(frags: DataFrame, region: tuple[str, int, int], cells: DataFrame, bins: int = 500) -> DataFrame:
     """``cell_group, bin, start, end, n, normalized`` in one region; normalized by 1e9 / (reads of
     the group * bin width).  ``cells``: ``cell_id, cell_group, reads``.  All bins have a row."""

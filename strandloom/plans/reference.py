@@ -625,6 +625,46 @@ def j11_matrix_vector(spark, d):
     return a.counts(spark, d).times_vector(a.col_vector(spark, d))
 
 
+@query(f"""{views('m', 'cv', 'dims')} SELECT e.r AS idx, coalesce(sum(v * x), 0) AS first, coalesce(sum(v * x * x), 0) AS second FROM (SELECT range AS r FROM dims, range(0, nr)) e LEFT JOIN m ON m.r = e.r LEFT JOIN cv ON m.c = cv.c GROUP BY e.r""")
+def j10_matrix_dense(spark, d):
+    dense = a.col_vector(spark, d).select("idx", F.array("v", F.col("v") * F.col("v")).alias("vector"))
+    return a.counts(spark, d).times_dense(dense, 2).select("idx", F.col("vector")[0].alias("first"), F.col("vector")[1].alias("second"))
+
+
+@query(f"{views('m')} SELECT p_name || p_partkey AS row_name, s_name AS col_name, v AS val FROM m JOIN part ON r = p_partkey JOIN supplier ON c = s_suppkey")
+def m4_named_entries(spark, d):
+    r = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"))
+    c = table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_name").alias("name"))
+    return matrix.named_entries(a.counts(spark, d), r, c)
+
+
+@query(f"{views('m', 'dims')} SELECT r AS row, c AS col, v AS val FROM (SELECT nr - 1 - r AS r, c // 2 AS c, v, nr FROM m, dims WHERE c % 2 = 0) WHERE r < nr")
+def m13_array_index(spark, d):
+    return _entries(a.counts(spark, d)[::-1, ::2])
+
+
+@query(f"{views('m', 'dims')} SELECT e.r AS row, count(v) AS n, coalesce(sum(v), 0) AS total FROM (SELECT range AS r FROM dims, range(0, nr)) e LEFT JOIN m ON m.r = e.r GROUP BY e.r")
+def udf_apply_by_row(spark, d):
+    return matrix.apply_by(a.counts(spark, d), "row", lambda i, c, v: {"n": len(v), "total": float(v.sum())}, "n bigint, total double")
+
+
+@query(f"{views('sizes')}, t AS (SELECT chr, ceil(chr_size / 500)::BIGINT AS n_tiles FROM sizes) SELECT chr, coalesce(sum(n_tiles) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_tile, n_tiles FROM t")
+def w7_tile_offsets(spark, d):
+    return overlap.tile_offsets(a.chrom_sizes(spark, d), 500)
+
+
+@query(f"""{views("frags", "sites", "cg", "peaks")} SELECT peak_id AS region_id, cell_group, ((pos - p.start) // 100)::INT AS bin, count(*) AS n
+ FROM sites s JOIN cg USING (cell_id) JOIN peaks p ON s.chr = p.chr AND pos >= p.start AND pos < p.start + 5000 GROUP BY ALL""")
+def a23_stored_counts(spark, d):
+    r = a.peaks(spark, d).select(F.col("peak_id").alias("region_id"), "chr", "start", (F.col("start") + 5000).alias("end"))
+    return overlap.counts_in_regions(overlap.insertion_counts(a.frags(spark, d), a.cell_groups(spark, d)), r, 100)
+
+
+@query()
+def l9_seurat(spark, d):
+    return graph.cluster_seurat(table(spark, d, "knn_to_geodesic_graph").where("weight <= 1"))
+
+
 @query()
 def l1_svd(spark, d):
     u, s, v = linalg.svds(a.counts(spark, d), 8)

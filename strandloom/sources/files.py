@@ -48,6 +48,19 @@ def replace_fragments(df: DataFrame, path: str) -> None:
         raise OSError(f"could not rename {path}.new")
 
 
+def import_fragments(spark: SparkSession, path: str, out: str, shift_start: int = 0, shift_end: int = 0, keep_cells: DataFrame | None = None) -> None:
+    """A fragment table into a fragment directory, shifted, and with a list only of its cells."""
+    from ..operators.fragments import select_cells, shift
+
+    df = shift(read_fragments_tsv(spark, path), shift_start, shift_end)
+    write_fragments(df if keep_cells is None else select_cells(df, keep_cells), out)
+
+
+def fragments_of(df: DataFrame, zero_based: bool = True) -> DataFrame:
+    """Any table with ``chr, start, end, cell_id`` as fragments; 1-based starts get 1 taken off."""
+    return df.select(F.col("chr").cast("string").alias("chr"), (F.col("start").cast("int") - int(not zero_based)).alias("start"), F.col("end").cast("int").alias("end"), F.col("cell_id").cast("string").alias("cell_id"))
+
+
 def read_bed(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
     """``chr, start, end`` and further columns by a schema text; comment lines are skipped."""
     return spark.read.csv(path, sep="\t", comment="#", schema="chr string, start int, end int" + (", " + extra if extra else ""))
@@ -134,6 +147,18 @@ def read_matrix(spark: SparkSession, path: str) -> SparseMatrix:
     return SparseMatrix(spark.read.parquet(f"{path}/entries"), meta["nrow"], meta["ncol"])
 
 
+def write_dense(m: SparseMatrix, path: str) -> None:
+    """All elements, one row of the matrix a record (``row, vals``): for matrices of modest size."""
+    w = F.sort_array(F.collect_list(F.struct("col", "val")))
+    m.densify().groupBy("row").agg(F.transform(w, lambda x: x["val"]).alias("vals")).write.mode("errorifexists").parquet(path)
+
+
+def transpose_storage(m: SparseMatrix, path: str, by: str = "row") -> SparseMatrix:
+    """The matrix written in the other storage order and opened again."""
+    write_matrix(m, path, by=by)
+    return read_matrix(m.entries.sparkSession, path)
+
+
 def write_grouped_bed(df: DataFrame, path: str) -> None:
     """Rows with a ``cell_group`` as sorted text files, one folder a group."""
     df.repartition("cell_group").sortWithinPartitions("cell_group", "chr", "start").write.mode("errorifexists").partitionBy("cell_group").csv(path, sep="\t")

@@ -20,6 +20,9 @@ def test_fragment_files(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == rows
     files.write_fragments_tsv(df, str(tmp_path / "back"), fifth_column=True)
     assert sorted(map(tuple, files.read_fragments_tsv(spark, str(tmp_path / "back")).collect())) == rows
+    files.import_fragments(spark, str(tmp_path / "f.tsv.gz"), str(tmp_path / "kept"), 4, -5, df.where("cell_id = 'B'"))
+    assert [(r.start, r.end, r.cell_id) for r in files.read_fragments(spark, str(tmp_path / "kept")).collect()] == [(19, 26, "B")]
+    assert sorted(map(tuple, files.fragments_of(df.withColumn("x", F.lit(1)), zero_based=False).collect()))[0] == ("chr1", 9, 21, "A")
     files.write_fragments(df, str(tmp_path / "dir"))
     again = files.read_fragments(spark, str(tmp_path / "dir")).select("chr", "start", "end", "cell_id")
     assert sorted(map(tuple, again.collect())) == rows
@@ -55,6 +58,10 @@ def test_matrix_files(spark, tmp_path):
     files.write_matrix(m, str(tmp_path / "m"))
     back = files.read_matrix(spark, str(tmp_path / "m"))
     assert (back.nrow, back.ncol) == (4, 5) and {tuple(r) for r in back.entries.collect()} == {tuple(r) for r in m.entries.collect()}
+    turned = files.transpose_storage(m, str(tmp_path / "t"))
+    assert {tuple(r) for r in turned.entries.collect()} == {tuple(r) for r in m.entries.collect()}
+    files.write_dense(m, str(tmp_path / "dense"))
+    assert [r.vals for r in spark.read.parquet(str(tmp_path / "dense")).orderBy("row").collect()][1] == [0, 0, 7.0, 0, 0]
     (tmp_path / "bad.mtx").write_text("%%MatrixMarket matrix array real general\n1 1\n2\n")
     with pytest.raises(ValueError):
         files.read_matrix_market(spark, str(tmp_path / "bad.mtx"))

@@ -107,6 +107,34 @@ def small(spark):
     return SparseMatrix.of(spark.createDataFrame(rows, "row long, col long, val double"), 14, 9), x
 
 
+def test_indexes_and_names(spark, small):
+    m, x = small
+    for key in ((slice(2, 9), slice(None)), (Ellipsis, [3, 1]), ([True] * 4 + [False] * 10,), (slice(None, None, -2), slice(1, 5)), (-1, Ellipsis), 3):
+        want = np.atleast_2d(x[key] if not isinstance(key, tuple) or not isinstance(key[0], list) else x[np.array(key[0])])
+        assert np.allclose(to_array(m[key]), want), key
+    for bad in ((99, 0), ([True],), (1, 2, 3)):
+        with pytest.raises(IndexError):
+            m[bad]
+    names = spark.createDataFrame([(i, f"g{i % 13}") for i in range(14)], "idx long, name string")
+    assert np.allclose(to_array(matrix.rows_by_name(m, ["g5", "g2"], names)), x[[5, 2]])
+    with pytest.raises(KeyError):
+        matrix.rows_by_name(m, ["g0"], names)
+    cols = spark.createDataFrame([(0, "c0")], "idx long, name string")
+    got = matrix.named_entries(m, names, cols).where("col_name = 'c0'").agg(F.sum("val")).first()[0]
+    assert got == pytest.approx(x[:, 0].sum())
+    sums = matrix.apply_by(m, "col", lambda i, r, v: {"s": float(v.sum()), "n": len(r)}, "s double, n int").orderBy("col").collect()
+    assert np.allclose([r.s for r in sums], x.sum(0)) and [r.n for r in sums] == (x != 0).sum(0).tolist()
+    dense = spark.createDataFrame([(j, [1.0 * j, 2.0]) for j in range(9)], "idx long, vector array<double>")
+    assert np.allclose([r.vector for r in m.times_dense(dense, 2).orderBy("idx").collect()], x @ np.array([[j, 2.0] for j in range(9)]))
+    genes = spark.createDataFrame([(i, 2.0, 0.1 * (i + 1)) for i in range(14)], "idx long, theta double, beta double")
+    cells = spark.createDataFrame([(j, float(1 + j % 3)) for j in range(9)], "idx long, reads double")
+    z = np.zeros((14, 9))
+    for r in linalg.pearson_residuals(m, genes, cells, 0.04, (-2, 3)).collect():
+        z[r.row, r.col] = r.val
+    st = linalg.pearson_residual_stats(m, genes, cells, 0.04, (-2, 3)).orderBy("row").collect()
+    assert np.allclose([r["mean"] for r in st], z.mean(1)) and np.allclose([r.variance for r in st], z.var(1, ddof=1))
+
+
 def to_array(m):
     out = np.zeros((m.nrow, m.ncol))
     for r in m.densify().collect():
