@@ -220,28 +220,28 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"))
     refs = rows.mapInArrow(_chunker(average, False), f"id {id_type}, rid bigint, seq int, digest binary")
     chunks = rows.select("text").mapInArrow(_chunker(average, True), "digest binary, chunk string")
-    coded = chunks.dropDuplicates(["digest"]).mapInArrow(_encoder(folder), _CODED)
-    hot = _hot_digests(rows, average)
-    if hot:
-        keys = spark.createDataFrame([(bytearray(x),) for x in hot], "digest binary")
-        few = F.broadcast(coded.join(F.broadcast(keys), "digest", "left_semi"))
-        common = refs.join(F.broadcast(keys), "digest", "left_semi").join(few, "digest")
-        parts = refs.join(F.broadcast(keys), "digest", "left_anti").join(coded, "digest").unionByName(common)
+    hot = _hot_chunks(rows.select("text"), average)
+    if hot:  # encoded apart and broadcast: no more than 1 / HOT_SHARE chunks of MAX_CHUNK bytes
+        common = spark.createDataFrame([(bytearray(x), t) for x, t in hot], "digest binary, chunk string")
+        keys = F.broadcast(common.select("digest"))
+        few = F.broadcast(common.mapInArrow(_encoder(folder), _CODED))
+        coded = chunks.join(keys, "digest", "left_anti").dropDuplicates(["digest"]).mapInArrow(_encoder(folder), _CODED)
+        parts = refs.join(keys, "digest", "left_anti").join(coded, "digest").unionByName(refs.join(few, "digest"))
     else:
-        parts = refs.join(coded, "digest")
+        parts = refs.join(chunks.dropDuplicates(["digest"]).mapInArrow(_encoder(folder), _CODED), "digest")
     parts = parts.groupBy("id", "rid").agg(F.sort_array(F.collect_list(F.struct("seq", "ids", "head", "n_head", "tail", "n_tail"))).alias("chunks"))
     ids = parts.select("id", "chunks").mapInArrow(_joiner(folder), f"id {id_type}, ids array<int>")
     return ids.select(F.col("id").alias(id_col), "ids")
 
 
-def _hot_digests(rows: DataFrame, average: int, about: int = 20000) -> list[bytes]:
+def _hot_chunks(texts: DataFrame, average: int, about: int = 20000) -> list[tuple[bytes, str]]:
     """Chunks that a sample of about ``about`` texts shows to be very common.  This chooses how a
     chunk is joined, never what is encoded."""
-    n = rows.count()
+    n = texts.count()
     if not n:
         return []
-    sample = rows.select("text").sample(min(1.0, about / n), seed=7)
-    counts = sample.mapInArrow(_chunker(average, False), "seq int, digest binary").groupBy("digest").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
+    sample = texts.sample(min(1.0, about / n), seed=7).mapInArrow(_chunker(average, True), "digest binary, chunk string")
+    counts = sample.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("chunk"))
+    total = sample.count()
     least = max(64, HOT_SHARE * total)
-    return [bytes(r["digest"]) for r in counts.where(F.col("count") >= least).orderBy(F.desc("count")).limit(int(1 / HOT_SHARE)).collect()]
+    return [(bytes(r["digest"]), r["chunk"]) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).collect()]
