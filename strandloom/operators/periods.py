@@ -29,7 +29,7 @@ _SMALL = (T.IntegerType, T.ShortType, T.ByteType)
 def _boundaries(grouped: DataFrame, keys: list[str], packed: bool) -> DataFrame:
     """Per group the starts and the ends, each sorted, and the ranks after which a gap lies."""
     if packed:
-        start, end = (lambda x: F.shiftright(x, 32)), (lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
+        start, end = (lambda x: F.shiftright(x, 32)), (lambda x: F.shiftright(F.shiftleft(x, 32), 32))
     else:
         start, end = (lambda x: x["__s"]), (lambda x: x["__t"])
     rows = grouped.select(
@@ -78,8 +78,8 @@ def periods_and_gaps(df: DataFrame, entity: list[str], start: str = "start", end
     for c in (*keys, "__s", "__t"):
         rows = rows.where(F.col(c).isNotNull())
     rows = rows.where("__t > __s")
-    if packed:  # one long holds both; negative starts keep their order and sign
-        rows = rows.withColumn("__x", F.shiftleft("__s", 32).bitwiseOR(F.col("__t").bitwiseAND(F.lit(0xFFFFFFFF)))).where("__t >= 0")
+    if packed:  # one long holds both, with their signs
+        rows = rows.withColumn("__x", F.shiftleft("__s", 32).bitwiseOR(F.col("__t").bitwiseAND(F.lit(0xFFFFFFFF))))
     else:
         rows = rows.withColumn("__x", F.struct("__s", "__t"))
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")

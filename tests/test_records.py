@@ -88,7 +88,7 @@ def brute_periods(rows):
 def test_periods_whole_and_in_blocks(spark, kind, block):
     rnd = random.Random(5)
     rows = [(rnd.choice("aaaaab"), s := rnd.randrange(600), s + rnd.choice([0, 1, 2, 5, 9, -3, 200 if rnd.random() < 0.02 else 3])) for _ in range(400)]
-    rows += [("a", 300, 305)] * 50 + [(None, 1, 2), ("a", None, 2), ("a", 1, None), ("one", 4, 5), ("t", 1, 3), ("t", 3, 6)]
+    rows += [("a", 300, 305)] * 50 + [(None, 1, 2), ("a", None, 2), ("a", 1, None), ("one", 4, 5), ("t", 1, 3), ("t", 3, 6), ("n", -9, -4), ("n", -5, -1), ("n", 2, 2147483647)]
     df = spark.createDataFrame(rows, f"e string, start {kind}, end {kind}").withColumn("kind", F.lit("clash"))
     got = Counter(tuple(r) for r in periods_and_gaps(df, ["e"], rows_per_block=block).collect())
     assert got == brute_periods(rows)
