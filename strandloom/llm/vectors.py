@@ -32,7 +32,7 @@ from .forest import Forest, nearest_in_block
 
 SAMPLE = 65_536
 MAX_DEPTH = 14
-TREES, LEAVES, LEAF_ROWS = 3, 8, 1500
+TREES, LEAVES, LEAF_ROWS = 3, 8, 1000  # a leaf holds LEAF_ROWS to twice as many
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -135,7 +135,7 @@ def nearest_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec",
     if not n:
         return spark.createDataFrame([], "i bigint, nn_rank int, idx bigint, dist double")
     sample = reps.select("vec").sample(min(1.0, 1.1 * SAMPLE / n), seed=seed).limit(SAMPLE).toArrow()
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(n / leaf_rows))))
+    depth = min(MAX_DEPTH, max(0, math.floor(math.log2(n / leaf_rows))))
     trees = trees if depth else 1  # one leaf holds all
     forest = spark.sparkContext.broadcast(Forest(_matrix(sample.column("vec"), dim) if sample.num_rows else np.zeros((0, dim), np.float32), trees, depth, seed))
     probes = max(trees, min(leaves, trees << depth))
