@@ -1,8 +1,8 @@
 """Raw annotation lines into typed columns, with every line that fails kept apart and explained.
 
 Record blocks (one Arrow batch each) are parsed by columnar kernels that accept or refuse a block
-as a whole.  A refused block is bisected until single records are left; those are diagnosed by a
-strict parser that names the reason.  Work per block is vectorised; only lines that fail, and
+as a whole.  A refused block is bisected until a few records are left, which a strict parser tells
+apart, naming the reasons.  Work per block is vectorised; only lines that fail, and
 nothing else, reach per-record Python.
 
 Defined cases: blank lines and comment lines are no records and yield no row; a null line is a
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_POSITION = 2147483647
+#: Refused blocks of so many records are no longer halved.
+STRICT = 8
 GTF_FIELDS = ("chr", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
 BED_FIELDS = ("chr", "start", "end", "name")
 ATTRIBUTES = r'[^ ";]+ (?:[0-9]+|"[^"]*")(?:; [^ ";]+ (?:[0-9]+|"[^"]*"))*;?'
@@ -77,8 +79,8 @@ def parse_block(lines: pa.Array, fmt: _Format) -> list[pa.Array] | None:
     return columns
 
 
-def diagnose(line: str | None, fmt: _Format) -> str:
-    """Why a single record fails."""
+def diagnose(line: str | None, fmt: _Format) -> str | None:
+    """Why a single record fails; None if it doesn't."""
     if line is None:
         return "null_line"
     parts = line.split("\t", len(fmt.fields) - 1) if fmt.loose else line.split("\t")
@@ -100,12 +102,16 @@ def diagnose(line: str | None, fmt: _Format) -> str:
         if fmt.loose and "\t" in last and not last.startswith('"'):
             return "field_count"
         return f"{fmt.last_field}_quoting" if '"' in last else f"{fmt.last_field}_form"
-    raise AssertionError(f"the columnar parser refused a valid record: {line!r}")
+    return None
 
 
 def parse_batch(lines: pa.Array, fmt: _Format) -> tuple[list[pa.Array], np.ndarray, np.ndarray, list[str]]:
-    """Columns of the valid records, their rows, the rows of the others, and the reasons of those."""
-    good: list[tuple[int, int, list[pa.Array]]] = []
+    """Columns of the valid records, their rows, the rows of the others, and the reasons of those.
+
+    Refused blocks are halved down to STRICT records, which the strict parser tells apart; those of
+    them that are valid are read together as one more block."""
+    good: list[tuple[np.ndarray, list[pa.Array]]] = []
+    apart: list[int] = []
     bad: list[int] = []
     reasons: list[str] = []
     stack = [(0, len(lines))] if len(lines) else []
@@ -113,17 +119,27 @@ def parse_batch(lines: pa.Array, fmt: _Format) -> tuple[list[pa.Array], np.ndarr
         a, b = stack.pop()
         columns = parse_block(lines.slice(a, b - a), fmt)
         if columns is not None:
-            good.append((a, b, columns))
-        elif b - a == 1:
-            bad.append(a)
-            reasons.append(diagnose(lines[a].as_py(), fmt))
+            good.append((np.arange(a, b), columns))
+        elif b - a <= STRICT:
+            for k, line in enumerate(lines.slice(a, b - a).to_pylist(), a):
+                why = diagnose(line, fmt)
+                if why is None:
+                    apart.append(k)
+                else:
+                    bad.append(k)
+                    reasons.append(why)
         else:
             middle = (a + b) // 2
             stack += [(middle, b), (a, middle)]
+    if apart:
+        columns = parse_block(lines.take(pa.array(apart)), fmt)
+        if columns is None:
+            raise AssertionError("the two parsers disagree")
+        good.append((np.asarray(apart), columns))
     kinds = [pa.int32() if f in ("start", "end") else pa.string() for f in fmt.fields]
-    columns = [pa.chunked_array([g[2][k] for g in good], kinds[k]).combine_chunks() for k in range(len(kinds))]
+    columns = [pa.chunked_array([g[1][k] for g in good], kinds[k]).combine_chunks() for k in range(len(kinds))]
     columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-    rows = np.concatenate([np.arange(a, b) for a, b, _ in good]) if good else np.empty(0, np.int64)
+    rows = np.concatenate([g[0] for g in good]) if good else np.empty(0, np.int64)
     return columns, rows, np.asarray(bad, dtype=np.int64), reasons
 
 
