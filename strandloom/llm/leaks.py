@@ -3,9 +3,10 @@
 1. The words of every text become postings (document, position, term).  A match of ``n_words``
    successive words lies in a run of words that all occur in some item, so only such runs are
    posted; they are stored once and read by all later steps.
-2. Each window of ``n_words`` words of an item is looked up by its two rarest terms (fewest
-   postings).  Their posting lists are intersected at the distance the terms have in the item:
-   what is left are places (document, item, offset of one to the other).
+2. Each window of ``n_words`` words of an item is looked up by its rarest terms (fewest postings).
+   The posting lists of the two rarest are intersected at the distance the terms have in the item,
+   and for exact phrases the third one's at its distance: what is left are places (document,
+   item, offset of one to the other).
 3. At these places all terms of the item are intersected with the postings, and runs of at least
    ``n_words`` matches are returned.  ``slop`` words may be missing or changed between successive
    matches (proximity matches); 0 gives exact phrases.
@@ -103,9 +104,15 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     of_window = Window.partitionBy("iid", "w")
     ranked = in_window.withColumn("r", F.row_number().over(by_rarity)).withColumn("found", F.count(F.lit(1)).over(of_window))
     least = n_words if slop == 0 else 2  # words that the corpus lacks end an exact window
-    two = ranked.where((F.col("r") <= 2) & (F.col("found") >= least)).groupBy("iid", "item", "w").agg(F.sort_array(F.collect_list(F.struct("ipos", "term"))).alias("t")).where(F.size("t") == 2)
+    third = slop == 0 and n_words > 2
+    kept = ranked.where((F.col("r") <= (3 if third else 2)) & (F.col("found") >= least))
+    terms_of = kept.groupBy("iid", "item", "w").agg(F.sort_array(F.collect_list(F.struct(F.col("r") > 2, "ipos", "term"))).alias("t")).where(F.size("t") == (3 if third else 2))
+    t = lambda k, f: F.get("t", F.lit(k))[f]
     lookups = cut_lineage(
-        two.select("iid", "item", F.col("t")[0]["ipos"].alias("ipos"), F.col("t")[0]["term"].alias("t1"), (F.col("t")[1]["ipos"] - F.col("t")[0]["ipos"]).alias("gap"), F.col("t")[1]["term"].alias("t2")).distinct()
+        terms_of.select(
+            "iid", "item", t(0, "ipos").alias("ipos"), t(0, "term").alias("t1"), (t(1, "ipos") - t(0, "ipos")).alias("gap"), t(1, "term").alias("t2"),
+            *([(t(2, "ipos") - t(0, "ipos")).alias("gap3"), t(2, "term").alias("t3")] if third else []),
+        ).distinct()
     )
     few = lookups.count() <= LOOKUPS
     small = F.broadcast if few else (lambda x: x)
@@ -116,7 +123,11 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     ahead = Window.partitionBy("rid").orderBy("pos").rangeBetween(1, n_words - 1)
     near = listed.withColumn("near", F.collect_list(F.struct("pos", "term")).over(ahead))
     pairs = near.select("doc", "rid", "pos", F.col("term").alias("t1"), F.explode("near").alias("x")).select("doc", "rid", "pos", "t1", (F.col("x.pos") - F.col("pos")).alias("gap"), F.col("x.term").alias("t2"))
-    places = pairs.join(small(lookups), ["t1", "gap", "t2"]).select("doc", "rid", "item", "iid", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
+    places = pairs.join(small(lookups), ["t1", "gap", "t2"]).withColumn("shift", F.col("pos") - F.col("ipos"))
+    if third:  # and with the list of the window's third term, which chance rarely meets
+        also = postings.join(small(lookups.select(F.col("t3").alias("term")).distinct()), "term", "left_semi").select("rid", F.col("pos").alias("pos3"), F.col("term").alias("t3"))
+        places = places.withColumn("pos3", F.col("pos") + F.col("gap3")).join(also, ["rid", "pos3", "t3"], "left_semi")
+    places = places.select("doc", "rid", "item", "iid", "shift").distinct()
 
     # all terms at these places, and runs of them
     whole = places.join(small(item_words) if few else item_words, ["iid", "item"]).select("doc", "rid", "item", "iid", "shift", "ipos", "term", (F.col("shift") + F.col("ipos")).alias("pos"))
