@@ -70,7 +70,7 @@ def call_peaks(frags: DataFrame, chrom_sizes: DataFrame, groups: DataFrame, geno
         total = chrom_sizes.agg(F.sum(F.when(F.col("chr_size") > offset, F.ceil((F.col("chr_size") - offset) / peak_width)).otherwise(0)).alias("tiles"))
         start = (F.floor((F.col("pos") - offset) / peak_width) * peak_width + offset).cast("int")
         tiles = sites.where(F.col("pos") >= offset).groupBy("cell_group", "chr", start.alias("start"), "chr_size").agg(F.count(F.lit(1)).alias("n"))
-        rich = tiles.join(F.broadcast(background), "cell_group").where("n > least").crossJoin(F.broadcast(total))  # one row a group, one row
+        rich = tiles.join(checked_broadcast(background), "cell_group").where("n > least").crossJoin(F.broadcast(total))  # one row a group, one row
         rich = rich.withColumn("p_val", poisson_cdf(F.col("bg"), F.col("n").cast("double")))
         tested = benjamini_hochberg(rich, ["cell_group"], "p_val", "tiles", "q_val").where(F.col("q_val") < fdr)
         parts.append(tested.select("cell_group", "chr", "start", F.least(F.col("start") + peak_width, "chr_size").alias("end"), "n", "p_val", "q_val", (F.col("n") / F.col("bg")).alias("enrichment")))

@@ -20,7 +20,7 @@ def dot_table(m: SparseMatrix, features: list[int], groups: DataFrame) -> DataFr
     g = groups.select(F.col("idx").alias("col"), "cell_group")
     size = g.groupBy("cell_group").agg(F.count(F.lit(1)).alias("n"))
     by = e.join(checked_broadcast(g), "col").groupBy("row", "cell_group").agg(F.sum("val").alias("gs"), F.count(F.lit(1)).alias("k"))
-    full = s.crossJoin(F.broadcast(size)).join(by, ["row", "cell_group"], "left")
+    full = s.crossJoin(checked_broadcast(size)).join(by, ["row", "cell_group"], "left")
     mean = F.coalesce("gs", F.lit(0.0)) / F.col("n")
     return full.select("row", "cell_group", ((mean - F.col("mean")) / F.col("sd")).alias("mean_z"), (100.0 * F.coalesce("k", F.lit(0)) / F.col("n")).alias("percent"))
 

@@ -144,7 +144,7 @@ def marker_features(m: SparseMatrix, groups: DataFrame, with_p: bool = True) ->
     by = both.join(g, "col").groupBy("row", "cell_group").agg(F.sum("rank").alias("rg"), F.sum("val").alias("sg"))
     total = both.groupBy("row").agg(F.sum("rank").alias("rt"), F.sum("val").alias("st"))
     size = groups.groupBy("cell_group").agg(F.count(F.lit(1)).alias("n1"))
-    full = m.rows().crossJoin(F.broadcast(size)).join(by, ["row", "cell_group"], "left").join(total, "row", "left").join(tie_statistics(m, "row"), "row")
+    full = m.rows().crossJoin(checked_broadcast(size)).join(by, ["row", "cell_group"], "left").join(total, "row", "left").join(tie_statistics(m, "row"), "row")
     z0 = F.lit(0.0)
     rg, rt, sg, st = (F.coalesce(c, z0) for c in ("rg", "rt", "sg", "st"))
     n1, n2 = F.col("n1"), n - F.col("n1")
