@@ -744,7 +744,8 @@ def a20_knee_points(spark, d):
     return plotdata.knee_points(table(spark, d, "cells"), "n_reads", 200, 1000)
 
 
-@query()
+@query(f"""SELECT floor(log10(n_fragments) * (100.0::DOUBLE / 6))::INT AS x_bin, floor(tss_enrichment * 2)::INT AS y_bin, count(*) AS n, count(*) FILTER (n_fragments >= 20 AND tss_enrichment >= 0.5) AS n_pass
+ FROM ({SQL["a12_cell_qc"]}) GROUP BY ALL""")
 def a21_tss_scatter(spark, d):
     qc = atac.qc_cells(a.frags(spark, d), a.genes(spark, d), a.blacklist(spark, d))
     return plotdata.tss_scatter(qc, 20, 0.5)
@@ -776,14 +777,19 @@ def plot_lanes(spark, d):
     return plotdata.lanes(a.genes(spark, d).where("chr = 'chr2'"), "gene_id")
 
 
-@query()
+@query(f"""{views("genes")}, p AS (SELECT gene_id, strand, unnest(range(start, "end", 10000)) AS pos FROM genes UNION SELECT gene_id, strand, "end" FROM genes),
+ n AS (SELECT gene_id, strand, pos, lead(pos) OVER (PARTITION BY gene_id ORDER BY pos) AS nx FROM p)
+ SELECT gene_id, (CASE WHEN strand THEN pos ELSE nx END)::INT AS from_pos, (CASE WHEN strand THEN nx ELSE pos END)::INT AS to_pos FROM n WHERE nx IS NOT NULL""")
 def plot_arrow_segments(spark, d):
     return plotdata.arrow_segments(a.genes(spark, d), "gene_id", 10_000)
 
 
-@query()
+@query(f"""{views("genes")}, h AS (SELECT 0.75::DOUBLE * pi() / 2 AS half), g AS (SELECT gene_id, start, "end" AS e, k::INT AS step, (k / 100.0::DOUBLE * 2 - 1) * half AS angle, half FROM genes, h, range(0, 101) t(k)
+ WHERE chr = 'chr2' AND start < 25000000 AND "end" > 5000000 AND NOT (start <= 5000000 AND "end" >= 25000000))
+ SELECT gene_id, step, round((start + e) / 2 + (e - start) / 2 * sin(angle) / sin(half), 2) + 0 AS x, round(-(cos(angle) - cos(half)) / (1 - cos(half)) * (e - start), 2) + 0 AS y FROM g""")
 def plot_loop_arcs(spark, d):
-    return plotdata.loop_arcs(a.genes(spark, d), "gene_id", "chr2", 5_000_000, 25_000_000)
+    arcs = plotdata.loop_arcs(a.genes(spark, d), "gene_id", "chr2", 5_000_000, 25_000_000)
+    return arcs.select("gene_id", "step", (F.round("x", 2) + 0).alias("x"), (F.round("y", 2) + 0).alias("y"))
 
 
 @query(f"{views('frags', 'sites')} SELECT chr, (pos // 100000)::INT AS tile, cell_id, count(*) AS n FROM sites GROUP BY ALL")
