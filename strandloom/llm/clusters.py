@@ -1,9 +1,10 @@
 """Clusters of mutually similar nodes of a weighted graph, by hierarchical density clustering.
 
 1. Usable edges are made undirected and unique.
-2. Similarity: each node starts with a pseudo-random signature, and in ``rounds`` rounds takes the
-   weighted sum of its neighbours' and part of its own.  The cosine of two signatures tells how far
-   the walks that start at two nodes reach the same nodes, whatever the weight of a single edge.
+2. Similarity: each node starts with a pseudo-random signature, and in each round takes the
+   weighted sum of its neighbours' and part of its own, until the walks have mixed within the
+   clusters (``settled``).  The cosine of two signatures tells how far the walks that start at two
+   nodes reach the same nodes, whatever the weight of a single edge.
 3. Mutual reachability: an edge is as similar as its ends' signatures are, but not more than either
    end is to its ``core``-th most similar neighbour.
 4. A maximum spanning forest of these edges by Borůvka rounds: each component takes its best edge
@@ -23,6 +24,7 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,10 @@ DIMS = 32
 GRAIN = 7
 OWN_SHARE = 0.3
 STEP = 0.25
+#: A node is open while the signatures it sums agree less than this.
+AGREED = 0.9
+#: Rounds end when the mean agreement gains less than this part of what it lacks.
+GAIN = 0.02
 ONE_TASK = 500_000
 
 
@@ -87,7 +93,8 @@ def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gather(first: bool):
-    """Weighted sums of the messages (node, w, from or signature), all of a node in one partition."""
+    """Weighted sums of the messages (node, w, from or signature), all of a node in one partition,
+    and how far the messages agree: the length of their sum by the sum of their lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -96,6 +103,7 @@ def _gather(first: bool):
             if not batch.num_rows:
                 continue
             x = _start(batch.column(2).to_numpy()) if first else _unpack(batch.column(2))
+            x = np.column_stack([x, np.linalg.norm(x, axis=1)])
             parts.append(_sums(batch.column(0).to_numpy(), x * batch.column(1).to_numpy().astype(np.float32)[:, None]))
             held += len(parts[-1][0])
             if held > 40_000:  # little more than the nodes of the partition are kept
@@ -103,8 +111,10 @@ def _gather(first: bool):
                 held = 0
         if parts:
             ids, x = _sums(*map(np.concatenate, zip(*parts)))
+            x, most = x[:, :DIMS], x[:, DIMS]
+            agree = (np.linalg.norm(x, axis=1) / np.where(most > 0, most, 1)).astype(np.float64)
             for a in range(0, len(ids), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 20_000]), _pack(x[a : a + 20_000])], names=["id", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 20_000]), _pack(x[a : a + 20_000]), pa.array(agree[a : a + 20_000])], names=["id", "x", "agree"])
 
     return run
 
@@ -118,20 +128,51 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.astype(np.float64))], names=["a", "b", "s"])
 
 
-def signature_similarity(edges: DataFrame, rounds: int) -> DataFrame:
-    """``a, b, s`` for each edge."""
+class Mixing:
+    """Tells from the agreement at the nodes when the rounds may end.
+
+    Unmixed signatures shrink in each round by about their agreement, and those of a cluster of m
+    nodes can shrink to 1/sqrt(m) of their length only: that is their common part.  So the nodes
+    that are still open can't hide a cluster once they have shrunk to 1/sqrt(their number); before
+    that, signatures may seem to stand still though the common part hasn't come out yet.  Beyond
+    it the rounds go on while the mean agreement still gains.  This ends for any graph: open nodes
+    shrink by a tenth at least, and what the mean lacks can't fall by GAIN for ever."""
+
+    def __init__(self) -> None:
+        self.shrunk = self.mean = 0.0
+
+    def settled(self, mean: float, n_open: int, open_mean: float) -> bool:
+        before, self.mean = self.mean, mean
+        if n_open:
+            self.shrunk -= math.log(max(open_mean, 1e-6))
+        lacks = 1 - mean
+        return (not n_open or self.shrunk >= math.log(n_open) / 2) and (lacks < 1e-3 or mean - before < GAIN * lacks)
+
+
+def signature_similarity(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``a, b, s`` for each edge, after so many rounds; None: until they are settled."""
     both = edges.select(F.col("a").alias("to"), F.col("b").alias("src"), "w").unionByName(edges.select(F.col("b").alias("to"), F.col("a").alias("src"), "w"))
     own = both.groupBy("to").agg((F.sum("w") * OWN_SHARE).alias("w")).select("to", F.col("to").alias("src"), "w")
     links = cut_lineage(both.unionByName(own).select("to", F.col("w").cast("float").alias("w"), "src"))
-    state = cut_lineage(links.repartition("to").mapInArrow(_gather(True), "id bigint, x binary"))
-    for _ in range(rounds - 1):
+    schema = "id bigint, x binary, agree double"
+    state = cut_lineage(links.repartition("to").mapInArrow(_gather(True), schema))
+    mixing, done = Mixing(), 1
+    while done < rounds if rounds is not None else not _settled(state, mixing):
         sent = links.join(state, links["src"] == state["id"]).select("to", "w", "x")
-        state = cut_lineage(sent.repartition("to").mapInArrow(_gather(False), "id bigint, x binary"))
+        state = cut_lineage(sent.repartition("to").mapInArrow(_gather(False), schema))
+        done += 1
+    state = state.drop("agree")
     half = edges.select("a", "b").join(state.withColumnRenamed("x", "xa"), F.col("a") == F.col("id")).select("a", "b", "xa")
     whole = half.join(state.withColumnRenamed("x", "xb"), F.col("b") == F.col("id")).select("a", "b", "xa", "xb")
     return whole.mapInArrow(_cosines, "a bigint, b bigint, s double")
 
 
+def _settled(state: DataFrame, mixing: Mixing) -> bool:
+    is_open = F.col("agree") < AGREED
+    mean, n_open, open_mean = state.agg(F.avg("agree"), F.count_if(is_open), F.avg(F.when(is_open, F.col("agree")))).first()
+    return mean is None or mixing.settled(mean, n_open, open_mean)
+
+
 def mutual_reachability(sims: DataFrame, core: int) -> DataFrame:
     """``a, b, s`` with s no more than the ``core``-th best of either end (of fewer: the last)."""
     ends = sims.select(F.col("a").alias("id"), "s").unionByName(sims.select(F.col("b").alias("id"), "s"))
@@ -196,10 +237,10 @@ def _condense(min_size: int):
     return run
 
 
-def density_clusters(df: DataFrame, i: str = "i", j: str = "j", weight: str = "weight", min_size: int = 5, rounds: int = 10, core: int = 3, one_task: int = ONE_TASK) -> DataFrame:
+def density_clusters(df: DataFrame, i: str = "i", j: str = "j", weight: str = "weight", min_size: int = 5, rounds: int | None = None, core: int = 3, one_task: int = ONE_TASK) -> DataFrame:
     """``id, cluster_id, persistence``: each node in a cluster; the cluster is named by its
-    smallest id.  ``rounds`` should exceed the steps in which a walk mixes within a cluster, about
-    the logarithm of its size; more do no harm."""
+    smallest id.  The rounds of walks end by what is measured (``Mixing``), as large and sparse
+    clusters need more of them; a number in ``rounds`` fixes them instead."""
     edges = cut_lineage(usable_edges(df, i, j, weight))
     reach = mutual_reachability(cut_lineage(signature_similarity(edges, rounds)), core)
     forest = boruvka_forest(reach, one_task)

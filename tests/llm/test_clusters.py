@@ -55,3 +55,16 @@ def test_distributed_rounds_equal_one_task(spark):
     tree = spark.createDataFrame([(int(a[k]), int(b[k]), int(level[k])) for k in keep], "a long, b long, level int")
     assert {r.id: (r.cluster_id, r.persistence) for r in condensed_by_levels(tree, 4).collect()} == want
     assert len(set(c for c, _ in want.values())) >= 1
+
+
+def test_large_sparse_cluster(spark):
+    """One sparse cluster of a third of all nodes, whose walks mix in about twice the rounds of the others."""
+    rng = np.random.default_rng(5)
+    sizes = [4000] + [100] * 80
+    starts = np.cumsum([0, *sizes])
+    rows = [(int(at + k), int(at + j), float(w)) for at, s in zip(starts, sizes) for k in range(s) for j, w in zip(rng.integers(0, s, 3), rng.uniform(0.2, 1, 3))]
+    rows += [(int(a), int(b), 0.9) for a, b in rng.integers(0, starts[-1], (1200, 2))]  # stray edges
+    got = {r.id: r.cluster_id for r in density_clusters(spark.createDataFrame(rows, "i long, j long, weight double")).collect()}
+    assert sum(got.get(k) == 0 for k in range(4000)) > 0.98 * 4000
+    owner = np.repeat(starts[:-1], sizes)
+    assert sum(got.get(k) == owner[k] for k in range(4000, len(owner))) > 0.98 * 8000
