@@ -3,13 +3,16 @@
 1. The words of every text become postings (document, position, term).  A match of ``n_words``
    successive words lies in a run of words that all occur in some item, so only such runs are
    posted; they are stored once and read by all later steps.
-2. Each window of ``n_words`` words of an item is looked up by its rarest terms (fewest postings).
-   The posting lists of the two rarest are intersected at the distance the terms have in the item,
-   and for exact phrases the third one's at its distance: what is left are places (document,
-   item, offset of one to the other).
-3. At these places all terms of the item are intersected with the postings, and runs of at least
-   ``n_words`` matches are returned.  ``slop`` words may be missing or changed between successive
-   matches (proximity matches); 0 gives exact phrases.
+2. Exact phrases: each window of ``n_words`` words of an item is looked up by its rarest terms
+   (fewest postings).  The posting lists of the three rarest are intersected at the distances the
+   terms have in the item: what is left are places (document, item, offset of one to the other).
+   At these places all terms of the item are intersected with the postings, and runs of at least
+   ``n_words`` matches are returned.
+3. Proximity matches: ``slop`` words may be missing, added or changed between successive matches,
+   on either side, so any term may be lost and the offset may change.  Every three successive
+   matches are three terms with at most ``slop`` words between two; all such triples of the
+   documents are joined with those of the items, and the longest chains of matches are returned.
+   The chains of a document and an item have no match in common.
 
 Defined cases: null, empty and blank texts match nothing, nor do items of fewer than ``n_words``
 words; repeated rows of a document or an item give the same results once; words are compared as
@@ -79,6 +82,76 @@ def _words_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(_post(None, 1, 0), f"doc {kind}, rid bigint, pos int, term string")
 
 
+def _grams(words: DataFrame, keys: list[str], pos: str, q: int, slop: int) -> DataFrame:
+    """``keys, at, gram``: the positions of each ``q`` (1 to 3) terms in a row with at most ``slop``
+    words between two, and a hash of the terms."""
+    ahead = Window.partitionBy(keys[0]).orderBy(pos).rangeBetween(1, max(1, (q - 1) * (slop + 1)))
+    near = words.withColumn("near", F.collect_list(F.struct(F.col(pos).alias("p"), F.col("term").alias("t"))).over(ahead))
+    after = lambda p: F.filter("near", lambda y: (y["p"] > p) & (y["p"] <= p + slop + 1))
+    gram = lambda *x: F.struct(F.array(F.col(pos), *[y["p"] for y in x]).alias("at"), F.xxhash64("term", *[y["t"] for y in x]).alias("gram"))
+    if q == 1:
+        grams = F.array(gram())
+    elif q == 2:
+        grams = F.transform(after(F.col(pos)), lambda x: gram(x))
+    else:
+        grams = F.flatten(F.transform(after(F.col(pos)), lambda x: F.transform(after(x["p"]), lambda y: gram(x, y))))
+    return near.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.at", "g.gram")
+
+
+def _longest_chains(points: set[tuple[int, int]], n_words: int, slop: int) -> Iterator[tuple[int, int, int]]:
+    """First positions and length of chains of matches (position in the document, in the item) of
+    at least ``n_words``, the longest first; a match is in one chain only."""
+    steps = [(d, i) for d in range(1, slop + 2) for i in range(1, slop + 2)]
+    while len(points) >= n_words:
+        best: dict[tuple[int, int], tuple[int, tuple[int, int] | None]] = {}
+        end = None
+        for p in sorted(points):
+            size, before = 1, None
+            for d, i in steps:
+                o = (p[0] - d, p[1] - i)
+                if o in best and best[o][0] >= size:
+                    size, before = best[o][0] + 1, o
+            best[p] = (size, before)
+            if end is None or size > best[end][0]:
+                end = p
+        size = best[end][0]
+        if size < n_words:
+            return
+        while end is not None:
+            points.discard(first := end)
+            end = best[end][1]
+        yield *first, size
+
+
+def _chain(n_words: int, slop: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, found = [], []
+            for k, hits in enumerate(batch.column(2)):
+                points = {p for h in hits.as_py() for p in zip(h["at"], h["iat"])}
+                for x in _longest_chains(points, n_words, slop):
+                    row.append(k)
+                    found.append(x)
+            at = pa.array(row, pa.int64())
+            columns = [pa.array([x[c] for x in found], pa.int32()) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc", "item", "doc_pos", "item_pos", "n_matched"])
+
+    return run
+
+
+def _chained(postings: DataFrame, item_words: DataFrame, n_words: int, slop: int) -> DataFrame:
+    """``doc, item, doc_pos, item_pos, n_matched`` of proximity matches."""
+    q = min(3, n_words)
+    in_items = cut_lineage(_grams(item_words, ["iid", "item"], "ipos", q, slop).withColumnRenamed("at", "iat"))
+    looked = F.broadcast(in_items) if in_items.count() <= LOOKUPS else in_items
+    hits = _grams(postings, ["rid", "doc"], "pos", q, slop).join(looked, "gram")
+    # a chain of n_words matches has grams that begin at so many positions
+    starts = F.size(F.collect_set(F.get("iat", F.lit(0))))
+    pairs = hits.groupBy("doc", "rid", "item", "iid").agg(starts.alias("n"), F.collect_list(F.struct("at", "iat")).alias("hits")).where(F.col("n") >= n_words - q + 1).select("doc", "item", "hits")
+    kinds = {c: t for c, t in pairs.dtypes}
+    return pairs.mapInArrow(_chain(n_words, slop), f"doc {kinds['doc']}, item {kinds['item']}, doc_pos int, item_pos int, n_matched int")
+
+
 def leaked_passages(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", doc_text: str = "text", item_col: str = "item_id", item_text: str = "text", n_words: int = 12, slop: int = 0) -> DataFrame:
     """``doc_col, item_col, doc_pos, item_pos, n_matched``: the runs of matching words, by the
     positions (from 0) of their first words."""
@@ -95,6 +168,8 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     if vocabulary is None:
         postings = postings.join(terms, "term", "left_semi")
     postings = cut_lineage(postings.select("doc", "rid", "pos", "term"))
+    if slop > 0:
+        return _chained(postings, item_words, n_words, slop).select(F.col("doc").alias(doc_col), F.col("item").alias(item_col), "doc_pos", "item_pos", "n_matched").distinct()
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     # the two rarest terms of each window of each item
@@ -103,9 +178,8 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     by_rarity = Window.partitionBy("iid", "w").orderBy("df", "term", "ipos")
     of_window = Window.partitionBy("iid", "w")
     ranked = in_window.withColumn("r", F.row_number().over(by_rarity)).withColumn("found", F.count(F.lit(1)).over(of_window))
-    least = n_words if slop == 0 else 2  # words that the corpus lacks end an exact window
-    third = slop == 0 and n_words > 2
-    kept = ranked.where((F.col("r") <= (3 if third else 2)) & (F.col("found") >= least))
+    third = n_words > 2
+    kept = ranked.where((F.col("r") <= (3 if third else 2)) & (F.col("found") >= n_words))  # words that the corpus lacks end a window
     terms_of = kept.groupBy("iid", "item", "w").agg(F.sort_array(F.collect_list(F.struct(F.col("r") > 2, "ipos", "term"))).alias("t")).where(F.size("t") == (3 if third else 2))
     t = lambda k, f: F.get("t", F.lit(k))[f]
     lookups = cut_lineage(
@@ -133,7 +207,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     whole = places.join(small(item_words) if few else item_words, ["iid", "item"]).select("doc", "rid", "item", "iid", "shift", "ipos", "term", (F.col("shift") + F.col("ipos")).alias("pos"))
     matched = whole.join(postings.select("rid", "pos", "term"), ["rid", "pos", "term"])
     along = Window.partitionBy("rid", "iid", "shift").orderBy("ipos")
-    steps = matched.withColumn("new", (F.col("ipos") - F.lag("ipos").over(along) > slop + 1).cast("int"))
+    steps = matched.withColumn("new", (F.col("ipos") - F.lag("ipos").over(along) > 1).cast("int"))
     runs = steps.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     found = runs.groupBy("doc", "rid", "item", "iid", "shift", "run").agg(F.min("pos").alias("doc_pos"), F.min("ipos").alias("item_pos"), F.count(F.lit(1)).alias("n_matched"))
     return found.where(F.col("n_matched") >= n_words).select(F.col("doc").alias(doc_col), F.col("item").alias(item_col), "doc_pos", "item_pos", F.col("n_matched").cast("int").alias("n_matched")).distinct()

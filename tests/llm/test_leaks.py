@@ -67,3 +67,41 @@ def test_changed_words(spark):
     dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
     assert {(r.doc_id, r.n_matched) for r in leaked_passages(dd, ii, n_words=8, slop=1).collect()} == {(1, 9), (3, 10)}
     assert {r.doc_id for r in leaked_items(dd, ii, n_words=8).collect()} == {3}
+
+
+def longest(v, w, slop):
+    """The most matches in a chain with at most ``slop`` words between two, on both sides."""
+    best = {}
+    for a in range(len(v)):
+        for b in range(len(w)):
+            if v[a] == w[b]:
+                best[a, b] = 1 + max((best.get((a - x, b - y), 0) for x in range(1, slop + 2) for y in range(1, slop + 2)), default=0)
+    return max(best.values(), default=0)
+
+
+def test_proximity_of_rare_changed_words(spark):
+    """The rarest terms of every window are changed in one copy, or lie beyond its part."""
+    w = [f"w{k}" for k in range(30)]
+    part = ["x" if k in (8, 17) else w[k] for k in range(23)]
+    less = [x for k, x in enumerate(w[:20]) if k not in (5, 11)]  # missing words change the offset
+    docs = [(1, " ".join(w)), (2, " ".join(part)), (3, " ".join(less))]
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
+    assert {tuple(r)[::4] for r in leaked_passages(dd, ii, n_words=12, slop=2).collect()} == {(1, 30), (2, 21), (3, 18)}
+
+
+@pytest.mark.parametrize("n_words, slop", [(6, 2), (2, 1)])
+def test_proximity_against_brute_force(spark, n_words, slop):
+    rnd = random.Random(5)
+    vocab = [f"w{k}" for k in range(60)]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.randrange(4, 30)))) for i in range(20)]
+    docs = []
+    for d in range(80):
+        src = rnd.choice(items)[1].split()
+        kept = [x for y in src for x in rnd.choice([[y]] * 6 + [["other"], [], [y, "more"]])]
+        docs.append((d, " ".join([*rnd.choices(vocab, k=5), *kept, *rnd.choices(vocab, k=5)])))
+    want = {(d, i): n for d, x in docs for i, t in items if (n := longest(x.split(), t.split(), slop)) >= n_words}
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {}
+    for r in leaked_passages(dd, ii, n_words=n_words, slop=slop).collect():
+        got[r.doc_id, r.item_id] = max(got.get((r.doc_id, r.item_id), 0), r.n_matched)
+    assert got == want and len(want) > 20
