@@ -29,15 +29,29 @@ def poisson_cdf_value(q: float, mean: float) -> float:
 
 def poisson_quantile_value(p: float, mean: float) -> int:
     """The smallest k with P(Poisson(mean) <= k) >= p."""
+    if mean > 700:  # exp(-mean) is near the smallest number
+        return _large_mean_quantile(p, mean)
     term = total = math.exp(-mean)
     k = 0
-    while total < p * (1 - 64 * 2.3e-16) and k < 10_000_000:
+    while total < p * (1 - 64 * 2.3e-16) and term > 0:
         k += 1
         term *= mean / k
         total += term
     return k
 
 
+def _large_mean_quantile(p: float, mean: float) -> int:
+    """Terms within 40 standard deviations of the mean, relative to the largest; what lies outside
+    is below the smallest number."""
+    reach = int(40 * math.sqrt(mean)) + 40
+    low = max(0, int(mean) - reach)
+    k = np.arange(low + 1, int(mean) + reach + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(mean / k))])
+    terms = np.exp(logs - logs.max())
+    total = np.cumsum(terms)
+    return low + int(min(np.searchsorted(total / total[-1], p * (1 - 64 * 2.3e-16)), len(terms) - 1))
+
+
 def _each_once(f, first: pd.Series, second: pd.Series) -> pd.Series:
     """``f`` of each pair, worked out once for equal pairs: counts repeat a lot."""
     known: dict[tuple, float] = {}

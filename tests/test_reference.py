@@ -286,3 +286,16 @@ def test_peak_calling_and_tracks(spark):
     assert len(cov) == 10 and sum(r.n for r in cov) == sum((0 <= p < 100_000) for s in rows for p in (s[1], s[2] - 1))
     knee = plotdata.knee_points(spark.createDataFrame([(v,) for v in [5, 3, 3, 9, None]], "n int"), "n", 50)
     assert [(r["rank"], r.reads) for r in knee.orderBy("rank").collect()] == [(1, 9), (2, 5), (3, 3), (4, 3)]
+
+
+def test_poisson_quantile_of_large_means():
+    from statistics import NormalDist
+
+    from strandloom.functions.tails import poisson_cdf_value, poisson_quantile_value
+
+    for mean in (701.0, 1000.0, 5000.0):
+        for p in (0.01, 0.5, 0.999):
+            k = poisson_quantile_value(p, mean)
+            assert poisson_cdf_value(k - 1, mean) < p <= poisson_cdf_value(k, mean)
+    mean = 1e6
+    assert abs(poisson_quantile_value(0.999, mean) - NormalDist(mean, mean**0.5).inv_cdf(0.999)) < 3
