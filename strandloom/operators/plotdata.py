@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,13 +69,39 @@ def clipped_segments(df: DataFrame, chrom: str, start: int, end: int) -> DataFra
 
 def lanes(df: DataFrame, key: str) -> DataFrame:
     """``key, lanes``: for each row of a (small, cut) region how many rows that begin no later are
-    still open at its start: rows drawn at this height don't cover each other's starts."""
+    still open at its start.  That is a depth; ``free_lanes`` assigns lanes without overlaps."""
     points = df.select(key, F.col("start").alias("p"), F.lit(1).alias("d")).unionByName(df.select(key, F.col("end").alias("p"), F.lit(-1).alias("d")))
     w = Window.partitionBy("chr").orderBy("p", "d", key).rowsBetween(Window.unboundedPreceding, 0)
     points = points.join(df.select(key, "chr"), key)
     return points.withColumn("lanes", F.sum("d").over(w)).where("d = 1").select(key, F.col("lanes").cast("int").alias("lanes"))
 
 
+def _lowest_free(group: pa.Table) -> pa.Table:
+    open_, free, lane, n = [], [], [], 0
+    for start, end in zip(group["start"].to_pylist(), group["end"].to_pylist()):
+        while open_ and open_[0][0] <= start:
+            heapq.heappush(free, heapq.heappop(open_)[1])
+        if not free:
+            n += 1
+            heapq.heappush(free, n)
+        lane.append(heapq.heappop(free))
+        heapq.heappush(open_, (end, lane[-1]))
+    return pa.table({"key": group["key"], "lane": pa.array(lane, pa.int32())})
+
+
+def free_lanes(df: DataFrame, key: str) -> DataFrame:
+    """``key, lane``: the lowest lane (from 1) that no range placed before, by start, end and
+    ``key``, still holds; per chromosome, each connected group of overlapping ranges in one task."""
+    rows = df.select(F.col(key).alias("key"), "chr", "start", "end")
+    before = Window.partitionBy("chr").orderBy("start", "end", "key").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = rows.withColumn("new", (F.col("start") >= F.max("end").over(before)).cast("int"))
+    upto = Window.partitionBy("chr").orderBy("start", "end", "key").rowsBetween(Window.unboundedPreceding, 0)
+    placed = fresh.withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(upto))
+    ordered = lambda t: _lowest_free(t.sort_by([("start", "ascending"), ("end", "ascending"), ("key", "ascending")]))
+    kind = rows.schema["key"].dataType.simpleString()
+    return placed.groupBy("chr", "part").applyInArrow(ordered, f"key {kind}, lane int").withColumnRenamed("key", key)
+
+
 def arrow_segments(df: DataFrame, key: str, spacing: int) -> DataFrame:
     """``key, from_pos, to_pos``: pieces of each range at multiples of ``spacing`` from its start,
     turned round on minus strands."""

@@ -299,3 +299,11 @@ def test_poisson_quantile_of_large_means():
             assert poisson_cdf_value(k - 1, mean) < p <= poisson_cdf_value(k, mean)
     mean = 1e6
     assert abs(poisson_quantile_value(0.999, mean) - NormalDist(mean, mean**0.5).inv_cdf(0.999)) < 3
+
+
+def test_free_lanes(spark):
+    from strandloom.operators.plotdata import free_lanes
+
+    rows = [(1, "c", 0, 3), (2, "c", 1, 10), (3, "c", 4, 8), (4, "c", 5, 6), (5, "c", 10, 12), (6, "d", 2, 4), (7, "d", 2, 4)]
+    df = spark.createDataFrame(rows, "id long, chr string, start int, end int").repartition(3)
+    assert dict(free_lanes(df, "id").collect()) == {1: 1, 2: 2, 3: 1, 4: 3, 5: 1, 6: 1, 7: 2}
