@@ -13,11 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
+    """Use the shared folder of ``spark.checkpoint.dir``.  Where it is unset, a local master gets a
+    folder of its own; on a cluster that folder would not be shared, so this raises."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="strandloom-")
+    sc.setCheckpointDir(folder)
+
+
+def drop_folder(spark: SparkSession, folder: str | None) -> None:
+    """Delete a checkpoint that later ones have replaced."""
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
