@@ -1,20 +1,18 @@
 """Clusters of mutually similar nodes of a weighted graph, by hierarchical density clustering.
 
-1. Usable edges are made undirected and unique.
-2. Similarity: each node starts with a pseudo-random signature, and in each round takes the
-   weighted sum of its neighbours' and part of its own, until the walks have mixed within the
-   clusters (``settled``).  The cosine of two signatures tells how far the walks that start at two
-   nodes reach the same nodes, whatever the weight of a single edge.
-3. Mutual reachability: an edge is as similar as its ends' signatures are, but not more than either
-   end is to its ``core``-th most similar neighbour.
-4. A maximum spanning forest of these edges by Borůvka rounds: each component takes its best edge
-   and components that are joined are contracted.
-5. The hierarchy of its components over levels of -log(1 - similarity), condensed by ``min_size``;
-   the most stable branches are the clusters.  A member's persistence is the finest level at which
-   it is still in a component of ``min_size``; the most persistent members are the exemplars.
-
-Rounds of 4 and levels of 5 are joins of tables; as soon as what is left fits ``one_task`` rows
-(a proven bound) one executor task ends the step, with the same result.
+1. Usable edges are made undirected and unique, in blocks of bounded size.
+2. Similarity of the ends of an edge: the cosine of what walks from both reach (``walks``), whatever
+   the weight of a single edge.
+3. Mutual reachability: an edge is as similar as its ends are, but not more than either end is to
+   its ``core``-th most similar neighbour.
+4. Borůvka rounds take the edges of the maximum spanning forest, finest level first; levels are
+   -log(1 - similarity) in steps of STEP (``contract``).
+5. The components of each level make up the hierarchy, condensed by ``min_size``; the most stable
+   branches are the clusters.  A member's persistence is the finest level at which it is in a
+   component of ``min_size``; the most persistent members are the exemplars.
+
+All steps are supersteps over blocks of at most about ``block_rows`` links (``blocks``).  The number
+of blocks follows the rows; a graph of one block takes the same steps within one task.
 
 Defined cases: edges with a null end, i = j, or a weight that is null, NaN or outside (0, 1] are
 unusable; repeated and turned-round edges count once (the largest weight); a node without usable
@@ -24,235 +22,78 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
-from .condense import condensed_clusters, spanning_forest
+from .blocks import Blocks, LocalBlock
+from .contract import begin, levels, nothing, select
+from .walks import build, similarities, spread
 
-DIMS = 32
-#: Signature values are whole numbers of -GRAIN..GRAIN, two of them in a byte.
-GRAIN = 7
-OWN_SHARE = 0.3
-STEP = 0.25
-#: A node is open while the signatures it sums agree less than this.
-AGREED = 0.9
-#: Rounds end when the mean agreement gains less than this part of what it lacks.
-GAIN = 0.02
-ONE_TASK = 500_000
+STEP = 0.5
+#: Links or edges that a block holds at most, about (a node with more than a quarter is spread).
+BLOCK_ROWS = 400_000
 
 
 def usable_edges(df: DataFrame, i: str = "i", j: str = "j", weight: str = "weight") -> DataFrame:
-    """``a < b, w``: each undirected edge once."""
-    a, b, w = F.col(i).cast("bigint"), F.col(j).cast("bigint"), F.col(weight).cast("double")
-    rows = df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), w.alias("w"), a.alias("__i"), b.alias("__j"))
-    rows = rows.where("__i is not null and __j is not null and __i <> __j and w > 0 and w <= 1 and not isnan(w)")
-    return rows.groupBy("a", "b").agg(F.max("w").alias("w"))
-
-
-def _start(ids: np.ndarray) -> np.ndarray:
-    """A pseudo-random vector of -1 and 1 for each id."""
-    with np.errstate(over="ignore"):
-        x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1)[:, :DIMS]
-    return bits.astype(np.float32) * 2 - 1
-
-
-def _pack(x: np.ndarray) -> pa.Array:
-    """Rows scaled to -GRAIN..GRAIN, two values in a byte."""
-    top = np.abs(x).max(axis=1, keepdims=True)
-    q = (np.rint(x / np.where(top > 0, top, 1) * GRAIN) + GRAIN).astype(np.uint8)
-    packed = (q[:, 0::2] << 4) | q[:, 1::2]
-    width = packed.shape[1]
-    offsets = np.arange(len(packed) + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
-
-
-def _unpack(column: pa.Array) -> np.ndarray:
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), -1)
-    out = np.empty((len(raw), DIMS), np.float32)
-    out[:, 0::2], out[:, 1::2] = raw >> 4, raw & 15
-    return out - GRAIN
-
-
-def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return ids[at], np.add.reduceat(rows[order], at, axis=0)
-
-
-def _gather(first: bool):
-    """Weighted sums of the messages (node, w, from or signature), all of a node in one partition,
-    and how far the messages agree: the length of their sum by the sum of their lengths."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _start(batch.column(2).to_numpy()) if first else _unpack(batch.column(2))
-            x = np.column_stack([x, np.linalg.norm(x, axis=1)])
-            parts.append(_sums(batch.column(0).to_numpy(), x * batch.column(1).to_numpy().astype(np.float32)[:, None]))
-            held += len(parts[-1][0])
-            if held > 40_000:  # little more than the nodes of the partition are kept
-                parts = [_sums(*map(np.concatenate, zip(*parts)))]
-                held = 0
-        if parts:
-            ids, x = _sums(*map(np.concatenate, zip(*parts)))
-            x, most = x[:, :DIMS], x[:, DIMS]
-            agree = (np.linalg.norm(x, axis=1) / np.where(most > 0, most, 1)).astype(np.float64)
-            for a in range(0, len(ids), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 20_000]), _pack(x[a : a + 20_000]), pa.array(agree[a : a + 20_000])], names=["id", "x", "agree"])
-
-    return run
-
-
-def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = _unpack(batch.column(2)), _unpack(batch.column(3))
-            size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
-            s = np.einsum("ij,ij->i", x, y) / np.where(size > 0, size, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.astype(np.float64))], names=["a", "b", "s"])
-
-
-class Mixing:
-    """Tells from the agreement at the nodes when the rounds may end.
-
-    Unmixed signatures shrink in each round by about their agreement, and those of a cluster of m
-    nodes can shrink to 1/sqrt(m) of their length only: that is their common part.  So the nodes
-    that are still open can't hide a cluster once they have shrunk to 1/sqrt(their number); before
-    that, signatures may seem to stand still though the common part hasn't come out yet.  Beyond
-    it the rounds go on while the mean agreement still gains.  This ends for any graph: open nodes
-    shrink by a tenth at least, and what the mean lacks can't fall by GAIN for ever."""
-
-    def __init__(self) -> None:
-        self.shrunk = self.mean = 0.0
-
-    def settled(self, mean: float, n_open: int, open_mean: float) -> bool:
-        before, self.mean = self.mean, mean
-        if n_open:
-            self.shrunk -= math.log(max(open_mean, 1e-6))
-        lacks = 1 - mean
-        return (not n_open or self.shrunk >= math.log(n_open) / 2) and (lacks < 1e-3 or mean - before < GAIN * lacks)
-
-
-def signature_similarity(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``a, b, s`` for each edge, after so many rounds; None: until they are settled."""
-    both = edges.select(F.col("a").alias("to"), F.col("b").alias("src"), "w").unionByName(edges.select(F.col("b").alias("to"), F.col("a").alias("src"), "w"))
-    own = both.groupBy("to").agg((F.sum("w") * OWN_SHARE).alias("w")).select("to", F.col("to").alias("src"), "w")
-    links = cut_lineage(both.unionByName(own).select("to", F.col("w").cast("float").alias("w"), "src"))
-    schema = "id bigint, x binary, agree double"
-    state = cut_lineage(links.repartition("to").mapInArrow(_gather(True), schema))
-    mixing, done = Mixing(), 1
-    while done < rounds if rounds is not None else not _settled(state, mixing):
-        sent = links.join(state, links["src"] == state["id"]).select("to", "w", "x")
-        state = cut_lineage(sent.repartition("to").mapInArrow(_gather(False), schema))
-        done += 1
-    state = state.drop("agree")
-    half = edges.select("a", "b").join(state.withColumnRenamed("x", "xa"), F.col("a") == F.col("id")).select("a", "b", "xa")
-    whole = half.join(state.withColumnRenamed("x", "xb"), F.col("b") == F.col("id")).select("a", "b", "xa", "xb")
-    return whole.mapInArrow(_cosines, "a bigint, b bigint, s double")
-
-
-def _settled(state: DataFrame, mixing: Mixing) -> bool:
-    is_open = F.col("agree") < AGREED
-    mean, n_open, open_mean = state.agg(F.avg("agree"), F.count_if(is_open), F.avg(F.when(is_open, F.col("agree")))).first()
-    return mean is None or mixing.settled(mean, n_open, open_mean)
-
-
-def mutual_reachability(sims: DataFrame, core: int) -> DataFrame:
-    """``a, b, s`` with s no more than the ``core``-th best of either end (of fewer: the last)."""
-    ends = sims.select(F.col("a").alias("id"), "s").unionByName(sims.select(F.col("b").alias("id"), "s"))
-    best = ends.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s")))).where(F.col("r") <= core)
-    cores = best.groupBy("id").agg(F.min("s").alias("c"))
-    half = sims.join(cores, F.col("a") == F.col("id")).select("a", "b", F.least("s", "c").alias("s"))
-    return half.join(cores, F.col("b") == F.col("id")).select("a", "b", F.least("s", "c").alias("s"))
-
-
-def _forest_of(group: pa.Table) -> pa.Table:
-    u, v, s, a, b = (group.column(k).to_numpy() for k in ("u", "v", "s", "a", "b"))
-    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    keep = spanning_forest(at[: len(u)], at[len(u) :], np.lexsort((b, a, -s)), len(ids))
-    return pa.table({"a": a[keep], "b": b[keep], "s": s[keep]})
-
-
-def boruvka_forest(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """The edges ``a, b, s`` of the maximum spanning forest."""
-    spark = edges.sparkSession
-    schema = "a bigint, b bigint, s double"
-    left = cut_lineage(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "s", "a", "b"))
-    chosen: list[DataFrame] = []
-    while (n := left.count()) > one_task:
-        key = F.struct((-F.col("s")).alias("s"), "a", "b", F.col("other"))
-        ends = left.select(F.col("u").alias("c"), F.col("v").alias("other"), "s", "a", "b").unionByName(left.select(F.col("v").alias("c"), F.col("u").alias("other"), "s", "a", "b"))
-        picks = cut_lineage(ends.groupBy("c").agg(F.min(key).alias("k")).select("c", F.col("k.other").alias("p"), (-F.col("k.s")).alias("s"), "k.a", "k.b"))
-        chosen.append(picks.select("a", "b", "s").distinct())
-        root = _roots(picks.select("c", "p"))
-        moved = left.join(root.withColumnRenamed("c", "u").withColumnRenamed("r", "ru"), "u").join(root.withColumnRenamed("c", "v").withColumnRenamed("r", "rv"), "v").where("ru <> rv")
-        small, large = F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")
-        best = moved.select(small, large, F.struct((-F.col("s")).alias("s"), "a", "b").alias("k")).groupBy("u", "v").agg(F.min("k").alias("k"))
-        left = cut_lineage(best.select("u", "v", (-F.col("k.s")).alias("s"), "k.a", "k.b"))
-    if n:
-        chosen.append(left.withColumn("__one", F.lit(0)).groupBy("__one").applyInArrow(_forest_of, schema))  # at most one_task rows
-    out = spark.createDataFrame([], schema) if not chosen else chosen[0]
-    for c in chosen[1:]:
-        out = out.unionByName(c)
-    return cut_lineage(out)
-
-
-def _roots(picks: DataFrame) -> DataFrame:
-    """``c, r``: the root of each component's chain of picks, by doubling of the pointers.  The
-    only cycles are pairs that picked each other; the smaller one is the root."""
-    back = picks.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-    at = cut_lineage(picks.join(back, "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("r")))
-    while True:
-        on = at.select(F.col("c").alias("r"), F.col("r").alias("rr"))
-        after = cut_lineage(at.join(on, "r").select("c", F.col("rr").alias("r"), (F.col("rr") != F.col("r")).alias("moved")))
-        if not after.where("moved").limit(1).count():
-            return after.select("c", "r")
-        at = after.select("c", "r")
-
-
-def _condense(min_size: int):
-    def run(group: pa.Table) -> pa.Table:
-        a, b, lev = (group.column(k).to_numpy() for k in ("a", "b", "level"))
-        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        label, finest = condensed_clusters(at[: len(a)], at[len(a) :], lev, len(ids), min_size)
-        keep = label >= 0
-        return pa.table({"id": ids[keep], "cluster_id": ids[label[keep]], "persistence": pa.array(finest[keep].astype(np.int32))})
-
-    return run
-
-
-def density_clusters(df: DataFrame, i: str = "i", j: str = "j", weight: str = "weight", min_size: int = 5, rounds: int | None = None, core: int = 3, one_task: int = ONE_TASK) -> DataFrame:
+    """``i, j, w``: the usable rows."""
+    rows = df.select(F.col(i).cast("bigint").alias("i"), F.col(j).cast("bigint").alias("j"), F.col(weight).cast("double").alias("w"))
+    return rows.where("i is not null and j is not null and i <> j and w > 0 and w <= 1 and not isnan(w)")
+
+
+def _program(blocks: Blocks | LocalBlock, any_heavy: bool, core: int, min_size: int, steps: int | None, block_rows: int, keep_forest: bool) -> None:
+    edges, _ = similarities(blocks, core, STEP, any_heavy, steps)
+    if not edges:
+        blocks.step(nothing)
+        return
+    level = max(s[0] for s in blocks.step(begin, keep_forest))
+    levels(blocks, level, min_size, block_rows)
+    if isinstance(blocks, Blocks) and blocks.count == 1:
+        blocks.within(select)
+    else:
+        select(blocks)
+
+
+def _clustered(df: DataFrame, i: str, j: str, weight: str, min_size: int, steps: int | None, core: int, block_rows: int, keep_forest: bool = False) -> Blocks | None:
+    rows = usable_edges(df, i, j, weight)
+    ends = rows.select(F.explode(F.array("i", "j")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    links, most = ends.agg(F.sum("n"), F.max("n")).first()
+    if not links:
+        return None
+    heavy = np.empty(0, np.int64)
+    if most > block_rows // 4:  # at most 4 of them for each block's worth of links
+        heavy = np.sort(np.array([r[0] for r in ends.where(F.col("n") > block_rows // 4).collect()], np.int64))
+    count = 1
+    while links > count * block_rows:
+        count *= 2
+    blocks = Blocks.load(rows.mapInArrow(spread(count, heavy), "block int, data binary"), count, build(heavy))
+    args = (len(heavy) > 0, core, min_size, steps, block_rows, keep_forest)
+    if count == 1:
+        blocks.within(_program, *args)
+    else:
+        _program(blocks, *args)
+    return blocks
+
+
+def density_clusters(df: DataFrame, i: str = "i", j: str = "j", weight: str = "weight", min_size: int = 5, steps: int | None = None, core: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id, cluster_id, persistence``: each node in a cluster; the cluster is named by its
-    smallest id.  The rounds of walks end by what is measured (``Mixing``), as large and sparse
-    clusters need more of them; a number in ``rounds`` fixes them instead."""
-    edges = cut_lineage(usable_edges(df, i, j, weight))
-    reach = mutual_reachability(cut_lineage(signature_similarity(edges, rounds)), core)
-    forest = boruvka_forest(reach, one_task)
-    level = F.floor(-F.log(F.greatest(F.lit(1e-3), 1 - F.col("s"))) / STEP)
-    tree = forest.select("a", "b", F.greatest(F.lit(0), level).cast("int").alias("level"))
+    smallest id.  The steps of the walks follow the number of nodes and end by what is measured
+    (``walks.similarities``); a number in ``steps`` fixes them instead."""
     schema = "id bigint, cluster_id bigint, persistence int"
-    n = forest.count()
-    if n <= one_task:
-        return tree.withColumn("__one", F.lit(0)).groupBy("__one").applyInArrow(_condense(min_size), schema) if n else df.sparkSession.createDataFrame([], schema)
-    from .hierarchy import condensed_by_levels
+    blocks = _clustered(df, i, j, weight, min_size, steps, core, block_rows)
+    if blocks is None:
+        return df.sparkSession.createDataFrame([], schema)
+    return blocks.frame(lambda st: {"id": st["id"], "cluster_id": st["cluster"], "persistence": st["level"]}, schema)
 
-    return condensed_by_levels(cut_lineage(tree), min_size)
+
+def spanning_forest(df: DataFrame, i: str = "i", j: str = "j", weight: str = "weight", steps: int | None = None, core: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``a, b, s``: the edges of the maximum spanning forest by mutual reachability."""
+    schema = "a bigint, b bigint, s double"
+    blocks = _clustered(df, i, j, weight, 2, steps, core, block_rows, True)
+    if blocks is None:
+        return df.sparkSession.createDataFrame([], schema)
+    return blocks.frame(lambda st: st["forest"] | {"s": st["forest"]["s"].astype(float)}, schema)
 
 
 def describe_clusters(nodes: DataFrame, exemplars: int = 3) -> DataFrame:

@@ -1,8 +1,11 @@
 import numpy as np
 
-from strandloom.llm.clusters import boruvka_forest, density_clusters, describe_clusters
-from strandloom.llm.condense import condensed_clusters, spanning_forest
-from strandloom.llm.hierarchy import condensed_by_levels
+from strandloom.llm.blocks import LocalBlock
+from strandloom.llm.clusters import density_clusters, describe_clusters, spanning_forest
+from strandloom.llm.contract import begin, levels, select
+
+from .condense import condensed_clusters
+from .condense import spanning_forest as kruskal
 
 
 def planted(seed=0, sizes=(12, 30, 60), degree=6):
@@ -37,24 +40,42 @@ def test_planted_clusters(spark):
     assert density_clusters(df.where("i = j")).count() == 0
 
 
-def test_distributed_rounds_equal_one_task(spark):
+def contracted(a, b, s, level, min_size):
+    """Forest and labels by the rounds, within one block."""
+    nodes = np.unique(np.concatenate([a, b]))
+    only = LocalBlock({"nodes": nodes, "a": a, "b": b, "s": s.astype(np.float32), "level": level.astype(np.int16)}, [])
+    top = only.step(begin, True)[0][0]
+    levels(only, top, min_size, 1000)
+    select(only)
+    st = only.state
+    return set(zip(st["forest"]["a"].tolist(), st["forest"]["b"].tolist())), {int(i): (int(c), int(x)) for i, c, x in zip(st["id"], st["cluster"], st["level"])}
+
+
+def test_rounds_equal_sequential_hierarchy():
     rng = np.random.default_rng(7)
-    pairs = {tuple(sorted(p)) for p in rng.integers(0, 60, (150, 2)).tolist() if p[0] != p[1]}
-    rows = [(a, b, float(rng.integers(0, 12)) / 12) for a, b in sorted(pairs)]
-    a, b, s = (np.array(x) for x in zip(*rows))
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    keep = spanning_forest(u, v, np.lexsort((b, a, -s)), len(ids))
-    want = {(int(a[k]), int(b[k])) for k in keep}
-    df = spark.createDataFrame(rows, "a long, b long, s double")
-    for bound in (1000, 0):
-        assert {(r.a, r.b) for r in boruvka_forest(df, one_task=bound).collect()} == want
-    level = np.floor(s * 12).astype(int)
-    label, finest = condensed_clusters(u[keep], v[keep], level[keep], len(ids), 4)
-    want = {int(ids[k]): (int(ids[label[k]]), int(finest[k])) for k in range(len(ids)) if label[k] >= 0}
-    tree = spark.createDataFrame([(int(a[k]), int(b[k]), int(level[k])) for k in keep], "a long, b long, level int")
-    assert {r.id: (r.cluster_id, r.persistence) for r in condensed_by_levels(tree, 4).collect()} == want
-    assert len(set(c for c, _ in want.values())) >= 1
+    for trial in range(30):
+        pairs = sorted({tuple(sorted(p)) for p in rng.integers(0, 20 + 4 * trial, (30 + 8 * trial, 2)).tolist() if p[0] != p[1]})
+        a, b = (np.array(x) for x in zip(*pairs))
+        s = rng.integers(0, 12, len(a)) / 16
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        u, v = at[: len(a)], at[len(a) :]
+        keep = kruskal(u, v, np.lexsort((b, a, -s)), len(ids))
+        level = np.floor(s * 12).astype(int)
+        label, finest = condensed_clusters(u[keep], v[keep], level[keep], len(ids), 4)
+        forest, labels = contracted(a, b, s, level, 4)
+        assert forest == {(int(a[k]), int(b[k])) for k in keep}
+        assert labels == {int(ids[k]): (int(ids[label[k]]), int(finest[k])) for k in range(len(ids)) if label[k] >= 0}
+
+
+def test_many_blocks_equal_one(spark):
+    """Also a hub, whose links are spread over all blocks."""
+    rows, _ = planted(3, (40, 60, 90))
+    rows += [(1, 3 * k + 1, 0.01) for k in range(1, 190)]
+    df = spark.createDataFrame(rows, "i long, j long, weight double")
+    one, many = (sorted(map(tuple, density_clusters(df, block_rows=n).collect())) for n in (10**6, 500))
+    assert one == many and len(one) > 150
+    one, many = (sorted((r.a, r.b) for r in spanning_forest(df, block_rows=n).collect()) for n in (10**6, 500))
+    assert one == many
 
 
 def test_large_sparse_cluster(spark):
