@@ -1,12 +1,14 @@
 """Texts above a token limit cut into overlapping pieces at natural boundaries.
 
 Recursive bisection: a span of more than ``limit - overlap`` tokens is cut at the strongest
-boundary of its middle half (end of a paragraph, line, sentence or word, else between characters,
-else between tokens), among equally strong ones the nearest to the midpoint, and both halves are
-cut on.  Afterwards each piece but the first gets the last ``overlap`` tokens of the one before.
+boundary of its middle half (end of a paragraph, line, sentence or word, else between characters),
+among equally strong ones the nearest to the midpoint, and both halves are cut on.  Afterwards each
+piece but the first gets the last ``overlap`` tokens of the one before; where these begin inside a
+character (of several tokens), also the one to three tokens before them, so that pieces hold whole
+characters only.
 
-Pieces are spans of the tokens of the whole text, so without overlaps they give its ids again.  A
-piece whose text would take more than ``limit`` tokens if encoded by itself is bisected further.
+Pieces are spans of the tokens of the whole text, so without overlaps they give its ids and its
+text again.  A piece of more than ``limit`` tokens, or whose text would take more than ``limit`` tokens if encoded by itself is bisected further.
 
 Defined cases: null, empty and short texts give no piece (``with_short=True``: one piece with all
 tokens); repeated rows are cut each; an empty table gives no rows; further columns are ignored.
@@ -51,10 +53,15 @@ def boundary_strengths(data: bytes, ends: np.ndarray) -> np.ndarray:
 
 
 def _cut(strength: np.ndarray, a: int, b: int) -> int:
-    """The token after which [a, b) is cut; strength[k] is that of the end of token k."""
+    """The token after which [a, b) is cut; strength[k] is that of the end of token k.  No cut (b)
+    where [a, b) is one character."""
     quarter = max(1, (b - a) // 4)
     low, high = a + quarter, b - quarter
     window = strength[low - 1 : high]
+    if not window.any():
+        low, window = a + 1, strength[a : b - 1]
+        if not window.any():
+            return b
     best = np.flatnonzero(window == window.max()) + low
     return int(best[np.argmin(np.abs(2 * best - (a + b)))])
 
@@ -67,22 +74,27 @@ def split_ids(ids: np.ndarray, data: bytes, tok, limit: int, overlap: int) -> li
     ends = np.cumsum(tok.lengths[ids])
     strength = boundary_strengths(data, ends)
     room = limit - overlap
+    whole = np.concatenate([[0], np.where(strength[:-1] > 0, np.arange(1, n), 0)])  # tokens that begin a character
+    begin = np.maximum.accumulate(whole)
+    first = lambda a: int(begin[max(0, a - overlap)])
     stack, cores = [(0, n)], []
     while stack:
         a, b = stack.pop()
-        if b - a > room or (b - a > 1 and _too_long(ids, max(0, a - overlap) if a else a, b, tok, limit)):
+        m = b
+        if b - a > room or (b - a > 1 and (b - first(a) > limit or _too_long(ids, first(a), b, tok, limit))):
             m = _cut(strength, a, b)
+        if m < b:
             stack += [(m, b), (a, m)]
         else:
             cores.append((a, b))
-    return [(max(0, a - overlap), a, b) for a, b in cores]
+    return [(first(a), a, b) for a, b in cores]
 
 
 def _too_long(ids: np.ndarray, a: int, b: int, tok, limit: int) -> bool:
     """Cut at word ends the text of a span has the span's tokens again; elsewhere rarely more."""
     if b - a <= limit // 2:
         return False
-    return len(tok.encode(tok.decode(ids[a:b].tolist()).decode(errors="ignore"))) > limit
+    return len(tok.encode(tok.decode(ids[a:b].tolist()).decode())) > limit
 
 
 def _splitter(folder: str, limit: int, overlap: int, with_short: bool):
@@ -103,7 +115,7 @@ def _splitter(folder: str, limit: int, overlap: int, with_short: bool):
                     continue
                 spans = split_ids(ids, data, tok, limit, overlap)
                 offset = np.concatenate([[0], np.cumsum(tok.lengths[ids])])
-                rows += [(at, k, len(spans), a, c, b, data[offset[a] : offset[b]].decode(errors="replace")) for k, (a, c, b) in enumerate(spans)]
+                rows += [(at, k, len(spans), a, c, b, data[offset[a] : offset[b]].decode()) for k, (a, c, b) in enumerate(spans)]
             if rows:
                 columns = list(zip(*rows))
                 kinds = [pa.int32()] * 5 + [pa.string()]
