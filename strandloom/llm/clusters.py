@@ -31,7 +31,7 @@ from .blocks import Blocks, LocalBlock
 from .contract import begin, levels, nothing, select
 from .walks import build, similarities, spread
 
-STEP = 0.5
+STEP = 0.4
 #: Links or edges that a block holds at most, about (a node with more than a quarter is spread).
 BLOCK_ROWS = 400_000
 

@@ -26,18 +26,21 @@ DIMS = 32
 #: Signatures travel as whole numbers of -GRAIN..GRAIN, two of them in a byte.
 GRAIN = 7
 #: Modes that shrink to less than BAND in a step of a walk don't grow; those of clusters, which
-#: keep LEAD and more, must outgrow them by 4 * sqrt(nodes): a cluster of m nodes has only
+#: keep LEAD and more, must outgrow them by 2 * sqrt(nodes): a cluster of m nodes has only
 #: 1/sqrt(m) of its signatures' length in common at first.
 BAND, LEAD = 0.6, 0.9
 GROWTH = LEAD / BAND + math.sqrt((LEAD / BAND) ** 2 - 1)
 #: Steps go on while the mean agreement gains at least this part of what it lacks.
 GAIN = 0.05
+#: Steps less one at the end that average directions only: the common part of a large cluster is
+#: shorter than that of a small one, which would outweigh it at the ends of stray edges.
+PLAIN = 4
 #: Links of a node up to this number are summed in columns of equal rank.
 COLUMNS = 64
 
 
 def least_steps(nodes: int) -> int:
-    return max(3, math.ceil(math.acosh(4 * math.sqrt(max(nodes, 1))) / math.acosh(LEAD / BAND)))
+    return max(3, math.ceil(math.acosh(2 * math.sqrt(max(nodes, 1))) / math.acosh(LEAD / BAND)))
 
 
 def start(ids: np.ndarray) -> np.ndarray:
@@ -144,7 +147,7 @@ def _received(st: dict, inbox: list) -> np.ndarray:
     return unpack(m["packed"], m["scale"]) if m else np.empty((0, DIMS), np.float32)
 
 
-def walk(block: int, count: int, st: dict, inbox: list, first: bool, own_part: bool) -> tuple[dict, Out, tuple]:
+def walk(block: int, count: int, st: dict, inbox: list, first: bool, plain: bool, own_part: bool) -> tuple[dict, Out, tuple]:
     """Sum up what has come.  With ``own_part`` shared sums follow, else the step ends here."""
     if first:
         asked = [(src, m["need"]["ids"]) for src, m in inbox if "need" in m]
@@ -153,26 +156,28 @@ def walk(block: int, count: int, st: dict, inbox: list, first: bool, own_part: b
         st["x"], st["before"] = start(st["nodes"]).astype(np.float16), None
     else:
         x = _received(st, inbox)
+    if plain:
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     st["sums"] = _sums(st, x)
     if not own_part:
-        return _advance(block, count, st)
+        return _advance(st, plain)
     away = st["away"]
     out = [(b, {"part": m}) for b, m in by_home(home(st["nodes"][away], count), ids=st["nodes"][away], s=st["sums"][away])]
     return st, out, ()
 
 
-def add_parts(block: int, count: int, st: dict, inbox: list) -> tuple[dict, Out, tuple]:
+def add_parts(block: int, count: int, st: dict, inbox: list, plain: bool) -> tuple[dict, Out, tuple]:
     parts = gathered(inbox, "part")
     if parts:
         np.add.at(st["sums"], np.searchsorted(st["nodes"], parts["ids"]), parts["s"])
-    return _advance(block, count, st)
+    return _advance(st, plain)
 
 
-def _advance(block: int, count: int, st: dict) -> tuple[dict, Out, tuple]:
+def _advance(st: dict, plain: bool) -> tuple[dict, Out, tuple]:
     sums = st.pop("sums")
     lengths, weights = sums[:, DIMS], sums[:, DIMS + 1]
     mean = sums[:, :DIMS] / np.where(weights > 0, weights, 1)[:, None]
-    after = mean / (BAND * GROWTH) if st["before"] is None else 2 / (BAND * GROWTH) * mean - st["before"] / np.float32(GROWTH**2)
+    after = mean if plain else mean / (BAND * GROWTH) if st["before"] is None else 2 / (BAND * GROWTH) * mean - st["before"] / np.float32(GROWTH**2)
     st["before"], st["x"] = st["x"], after.astype(np.float16)
     agree = np.linalg.norm(sums[:, :DIMS], axis=1) / np.where(lengths > 0, lengths, 1)
     own = _own(st)
@@ -242,14 +247,16 @@ def similarities(blocks, core: int, step: float, any_heavy: bool, steps: int | N
     """The program up to ``reachable``; the number of edges and of nodes."""
     n = sum(s[0] for s in blocks.step(subscribe))
     least, done, agreed = steps or least_steps(n), 0, 0.0
-    while n:
-        stats = blocks.step(walk, done == 0, any_heavy)
+    settling = PLAIN
+    while n and settling:
+        plain = settling < PLAIN
+        stats = blocks.step(walk, done == 0, plain, any_heavy)
         if any_heavy:
-            stats = blocks.step(add_parts)
+            stats = blocks.step(add_parts, plain)
         done += 1
         before, agreed = agreed, sum(s[1] for s in stats) / n
-        if done >= least and (steps or 1 - agreed < 1e-3 or agreed - before < GAIN * (1 - agreed)):
-            break
+        if plain or done >= least and (steps or 1 - agreed < 1e-3 or agreed - before < GAIN * (1 - agreed)):
+            settling -= 1
     if not n:
         return 0, 0
     blocks.step(compare, core)
