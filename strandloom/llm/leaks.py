@@ -37,6 +37,8 @@ from .words import plain_words
 VOCABULARY = 500_000
 #: Up to this many look-ups (windows' term pairs) are broadcast.
 LOOKUPS = 200_000
+#: Postings and places of a document meet in bins of so many positions.
+BIN = 256
 
 
 def _post(vocabulary, n_words: int, slop: int):
@@ -203,9 +205,13 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
         places = places.withColumn("pos3", F.col("pos") + F.col("gap3")).join(also, ["rid", "pos3", "t3"], "left_semi")
     places = places.select("doc", "rid", "item", "iid", "shift").distinct()
 
-    # all terms at these places, and runs of them
-    whole = places.join(small(item_words) if few else item_words, ["iid", "item"]).select("doc", "rid", "item", "iid", "shift", "ipos", "term", (F.col("shift") + F.col("ipos")).alias("pos"))
-    matched = whole.join(postings.select("rid", "pos", "term"), ["rid", "pos", "term"])
+    # the postings within these places that are the item's terms there, and runs of them
+    texts = item_words.groupBy("iid").agg(F.sort_array(F.collect_list(F.struct("ipos", "term"))).alias("t")).select("iid", F.col("t.term").alias("words"))
+    texts = small(texts) if few else texts
+    spans = places.join(texts.select("iid", F.size("words").alias("n")), "iid")
+    spans = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.greatest(F.col("shift"), F.lit(0)) / BIN), F.floor((F.col("shift") + F.col("n") - 1) / BIN))))
+    inside = postings.select("rid", "pos", "term", F.floor(F.col("pos") / BIN).alias("bin")).join(spans, ["rid", "bin"]).withColumn("ipos", F.col("pos") - F.col("shift"))
+    matched = inside.where("ipos >= 0 and ipos < n").join(texts, "iid").where(F.get("words", "ipos") == F.col("term")).select("doc", "rid", "item", "iid", "shift", "ipos", "pos")
     along = Window.partitionBy("rid", "iid", "shift").orderBy("ipos")
     steps = matched.withColumn("new", (F.col("ipos") - F.lag("ipos").over(along) > 1).cast("int"))
     runs = steps.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
