@@ -1,9 +1,9 @@
 """Raw annotation lines into typed columns, with every line that fails kept apart and explained.
 
-Record blocks (one Arrow batch each) are parsed by columnar kernels that accept or refuse a block
-as a whole.  A refused block is bisected until a few records are left, which a strict parser tells
-apart, naming the reasons.  Work per block is vectorised; only lines that fail, and
-nothing else, reach per-record Python.
+A record block (one Arrow batch) is parsed once, by columnar kernels that also say which checks its
+records fail.  A block without failures is accepted as a whole.  Else it is bisected, halves being
+judged by the checks already made, until the failing records stand alone; a strict parser names
+their reasons.  Only lines that fail, and nothing else, reach per-record Python.
 
 Defined cases: blank lines and comment lines are no records and yield no row; a null line is a
 failing record (``null_line``); empty tables give empty results; repeated lines are separate
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_POSITION = 2147483647
-#: Refused blocks of so many records are no longer halved.
-STRICT = 8
 GTF_FIELDS = ("chr", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
 BED_FIELDS = ("chr", "start", "end", "name")
 ATTRIBUTES = r'[^ ";]+ (?:[0-9]+|"[^"]*")(?:; [^ ";]+ (?:[0-9]+|"[^"]*"))*;?'
@@ -47,36 +45,49 @@ FORMATS = {
 }
 
 
-def _positions(text: pa.Array) -> pa.Array | None:
-    """Digits as int64, or None where any value isn't digits or exceeds ten of them."""
-    if not pc.all(pc.match_substring_regex(text, "^[0-9]+$")).as_py():
-        return None
+def _positions(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values as int64, and which are digits (of any length; 0 and False where they are none)."""
     short = pc.ascii_ltrim(text, characters="0")
-    if pc.max(pc.binary_length(short)).as_py() > 10:
-        return None
-    return pc.cast(pc.if_else(pc.equal(pc.binary_length(short), 0), "0", short), pa.int64())
+    fine = pc.and_(pc.match_substring_regex(text, "^[0-9]+$"), pc.less_equal(pc.binary_length(short), 18))
+    digits = pc.if_else(pc.and_(fine, pc.greater(pc.binary_length(short), 0)), short, "0")
+    return pc.cast(digits, pa.int64()).to_numpy(), fine.to_numpy(zero_copy_only=False)
 
 
-def parse_block(lines: pa.Array, fmt: _Format) -> list[pa.Array] | None:
-    """The typed columns of a block, or None if any record of it fails."""
+def parse_block(lines: pa.Array, fmt: _Format) -> tuple[list[pa.Array], np.ndarray]:
+    """The typed columns of the records that pass all checks, and which records of the block do."""
     n, width = len(lines), len(fmt.fields)
-    if lines.null_count:
-        return None
     parts = pc.split_pattern(lines, "\t", max_splits=width - 1 if fmt.loose else None)
-    if not pc.all(pc.equal(pc.list_value_length(parts), width)).as_py():
-        return None
-    flat, at = parts.flatten(), np.arange(n, dtype=np.int64) * width
+    passed = pc.fill_null(pc.equal(pc.list_value_length(parts), width), False)
+    if not pc.all(passed).as_py():
+        parts = parts.filter(passed)
+    flat, at = parts.flatten(), np.arange(len(parts), dtype=np.int64) * width
     columns = [flat.take(pa.array(at + k)) for k in range(width)]
-    start, end = _positions(columns[fmt.at_start]), _positions(columns[fmt.at_end])
-    if start is None or end is None:
-        return None
-    low, high = start.to_numpy(), end.to_numpy()
-    if not ((low >= fmt.first) & (high <= MAX_POSITION) & (low + (1 - fmt.first) <= high)).all():
-        return None
-    if not pc.all(pc.match_substring_regex(columns[fmt.at_last], f"^{fmt.pattern}$")).as_py():
-        return None
-    columns[fmt.at_start], columns[fmt.at_end] = (pc.cast(x, pa.int32()) for x in (start, end))
-    return columns
+    (low, low_fine), (high, high_fine) = _positions(columns[fmt.at_start]), _positions(columns[fmt.at_end])
+    fine = low_fine & high_fine & (low >= fmt.first) & (high <= MAX_POSITION) & (low + (1 - fmt.first) <= high)
+    fine &= pc.match_substring_regex(columns[fmt.at_last], f"^{fmt.pattern}$").to_numpy(zero_copy_only=False)
+    if not fine.all():
+        columns, low, high = [c.filter(pa.array(fine)) for c in columns], low[fine], high[fine]
+    columns[fmt.at_start], columns[fmt.at_end] = pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))
+    ok = np.zeros(n, bool)
+    ok[np.flatnonzero(passed.to_numpy(zero_copy_only=False))[fine]] = True
+    return columns, ok
+
+
+def isolate(ok: np.ndarray) -> list[int]:
+    """Records that fail, by bisection of the blocks that hold some."""
+    failures = np.concatenate([[0], np.cumsum(~ok)])
+    alone: list[int] = []
+    stack = [(0, len(ok))]
+    while stack:
+        a, b = stack.pop()
+        if failures[a] == failures[b]:
+            continue
+        if failures[b] - failures[a] == b - a:  # nothing in it to keep
+            alone += range(a, b)
+        else:
+            middle = (a + b) // 2
+            stack += [(middle, b), (a, middle)]
+    return alone
 
 
 def diagnose(line: str | None, fmt: _Format) -> str | None:
@@ -106,41 +117,13 @@ def diagnose(line: str | None, fmt: _Format) -> str | None:
 
 
 def parse_batch(lines: pa.Array, fmt: _Format) -> tuple[list[pa.Array], np.ndarray, np.ndarray, list[str]]:
-    """Columns of the valid records, their rows, the rows of the others, and the reasons of those.
-
-    Refused blocks are halved down to STRICT records, which the strict parser tells apart; those of
-    them that are valid are read together as one more block."""
-    good: list[tuple[np.ndarray, list[pa.Array]]] = []
-    apart: list[int] = []
-    bad: list[int] = []
-    reasons: list[str] = []
-    stack = [(0, len(lines))] if len(lines) else []
-    while stack:
-        a, b = stack.pop()
-        columns = parse_block(lines.slice(a, b - a), fmt)
-        if columns is not None:
-            good.append((np.arange(a, b), columns))
-        elif b - a <= STRICT:
-            for k, line in enumerate(lines.slice(a, b - a).to_pylist(), a):
-                why = diagnose(line, fmt)
-                if why is None:
-                    apart.append(k)
-                else:
-                    bad.append(k)
-                    reasons.append(why)
-        else:
-            middle = (a + b) // 2
-            stack += [(middle, b), (a, middle)]
-    if apart:
-        columns = parse_block(lines.take(pa.array(apart)), fmt)
-        if columns is None:
-            raise AssertionError("the two parsers disagree")
-        good.append((np.asarray(apart), columns))
-    kinds = [pa.int32() if f in ("start", "end") else pa.string() for f in fmt.fields]
-    columns = [pa.chunked_array([g[1][k] for g in good], kinds[k]).combine_chunks() for k in range(len(kinds))]
-    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-    rows = np.concatenate([g[0] for g in good]) if good else np.empty(0, np.int64)
-    return columns, rows, np.asarray(bad, dtype=np.int64), reasons
+    """Columns of the valid records, their rows, the rows of the others, and the reasons of those."""
+    columns, ok = parse_block(lines, fmt)
+    bad = np.asarray(isolate(ok), dtype=np.int64)
+    reasons = [diagnose(line, fmt) for line in lines.take(pa.array(bad)).to_pylist()]
+    if None in reasons:
+        raise AssertionError("the two parsers disagree")
+    return columns, np.flatnonzero(ok), bad, reasons
 
 
 def load_records(lines: DataFrame, fmt: str, line_col: str = "line", keep: tuple[str, ...] = ("line_id",)) -> DataFrame:
