@@ -1,11 +1,14 @@
 """The k nearest other vectors of every vector, by a forest of random-projection trees.
 
-1. The forest is fit on a bounded sample (``SAMPLE`` distinct vectors) and broadcast; its size is at
-   most trees * 2**MAX_DEPTH planes whatever the number of vectors.
+1. The forest is fit on a bounded sample (``sample_rows`` distinct vectors, a parameter) and
+   broadcast.  Its depth follows the number of vectors as far as ``SAMPLE_ROWS_A_LEAF`` rows of the
+   sample are left for each leaf.
 2. Every vector goes to its own leaf of each tree, and as a query to the best leaves of the queue
-   that all trees share.
+   that all trees share.  Leaves that many queries reach (estimated from the sample) are given out
+   in slices: all vectors of the leaf with a part of its queries each.
 3. Within a leaf all its candidates are ranked by exact distances, and a last step merges the
-   leaves of a query.  No group is larger than a leaf and the queries that reach it.
+   leaves of a query.  A leaf that is still large is split by a tree of its own vectors first, so
+   the work a query costs doesn't grow with the number of vectors.
 
 Copies of one vector are searched once: their smallest ids stand for them and are put in exactly
 afterwards, so neither leaves nor results depend on how many copies there are.
@@ -30,9 +33,11 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage
 from .forest import Forest, nearest_in_block
 
-SAMPLE = 65_536
-MAX_DEPTH = 14
-TREES, LEAVES, LEAF_ROWS = 3, 8, 1000  # a leaf holds LEAF_ROWS to twice as many
+SAMPLE_ROWS, SAMPLE_ROWS_A_LEAF = 65_536, 32
+TREES, LEAVES, LEAF_ROWS = 2, 5, 1000  # a leaf holds LEAF_ROWS to twice as many
+#: Leaves of more than LARGE * LEAF_ROWS vectors are split again; a slice has about SLICE *
+#: LEAF_ROWS queries; ASKED rows of the sample tell how many queries reach a leaf.
+LARGE, SLICE, ASKED = 4, 16, 8192
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -62,7 +67,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 def _router(forest, leaves: int, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = forest.value
+        f, slices = forest.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -75,21 +80,49 @@ def _router(forest, leaves: int, dim: int):
                 if not ask.all():
                     to[~ask, : f.trees] = f.probe(part[~ask], f.trees)
                 row, col = np.nonzero(to >= 0)
-                role = np.where(col < f.trees, 1, 0) + np.where(ask[row], 2, 0)
+                own, ask, leaf = col < f.trees, ask[row], to[row, col]
+                # a query in one slice of the leaf, its own vectors in all of them
+                times = np.where(own, slices[leaf], 1)
+                at = np.repeat(np.arange(len(row)), times)
+                turn = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                asking = ids[a : a + 2000][row] % slices[leaf]
+                part_no = np.where(own[at], turn, asking[at])
+                role = np.where(own[at], 1, 0) + np.where(ask[at] & (part_no == asking[at]), 2, 0)
+                row = row[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[row, col].astype(np.int32)), pa.array(role.astype(np.int8)), pa.array(ids[a : a + 2000][row]), _binary(part[row])],
-                    names=["leaf", "role", "id", "vec"],
+                    [pa.array(leaf[at].astype(np.int32)), pa.array(part_no.astype(np.int32)), pa.array(role.astype(np.int8)), pa.array(ids[a : a + 2000][row]), _binary(part[row])],
+                    names=["leaf", "slice", "role", "id", "vec"],
                 )
 
     return run
 
 
-def _ranker(k: int, dim: int):
+def _nearest_in_leaf(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int, leaf_rows: int, leaves: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(x) <= LARGE * leaf_rows or not len(q):
+        return nearest_in_block(q, x, q_ids, ids, k)
+    tree = Forest(x, 1, math.floor(math.log2(len(x) / leaf_rows)), seed)
+    of = np.concatenate([tree.probe(x[a : a + 2000], 1)[:, 0] for a in range(0, len(x), 2000)])
+    probes = min(leaves, 1 << tree.depth)
+    to = np.concatenate([tree.probe(q[a : a + 2000], probes) for a in range(0, len(q), 2000)])
+    near, dist = np.full((len(q), probes, k), -1, np.int64), np.full((len(q), probes, k), np.inf)
+    where, held = np.argsort(to, axis=None, kind="stable"), np.argsort(of, kind="stable")
+    for leaf in range(1 << tree.depth):
+        here = where[slice(*np.searchsorted(to.ravel()[where], [leaf, leaf + 1]))]
+        rows = held[slice(*np.searchsorted(of[held], [leaf, leaf + 1]))]
+        if len(here) and len(rows):
+            r, c = here // probes, here % probes
+            near[r, c], dist[r, c] = nearest_in_block(q[r], x[rows], q_ids[r], ids[rows], k)
+    near, dist = near.reshape(len(q), -1), dist.reshape(len(q), -1)  # one tree: no vector twice
+    order = np.lexsort((near, dist), axis=1)[:, :k]
+    return np.take_along_axis(near, order, 1), np.take_along_axis(dist, order, 1)
+
+
+def _ranker(k: int, dim: int, leaf_rows: int, leaves: int, seed: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         role, ids, x = group.column("role").to_numpy(), group.column("id").to_numpy(), _matrix(group.column("vec"), dim)
         own, ask = role & 1 > 0, role & 2 > 0
-        near, dist = nearest_in_block(x[ask], x[own], ids[ask], ids[own], k)
+        near, dist = _nearest_in_leaf(x[ask], x[own], ids[ask], ids[own], k, leaf_rows, leaves, seed)
         return pa.table({"id": pa.array(ids[ask]), "near": _binary(near), "dist": _binary(dist)})
 
     return run
@@ -122,7 +155,7 @@ def _merge(k: int):
     return run
 
 
-def nearest_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", dim: int = 32, k: int = 10, queries: Column | None = None, trees: int = TREES, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, seed: int = 11) -> DataFrame:
+def nearest_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", dim: int = 32, k: int = 10, queries: Column | None = None, trees: int = TREES, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> DataFrame:
     """``i, nn_rank`` (from 1)``, idx, dist``: for each usable vector, or those for which
     ``queries`` (a condition on ``id``) holds, its nearest others by euclidean distance."""
     spark = df.sparkSession
@@ -134,13 +167,18 @@ def nearest_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec",
     n = size["n"]
     if not n:
         return spark.createDataFrame([], "i bigint, nn_rank int, idx bigint, dist double")
-    sample = reps.select("vec").sample(min(1.0, 1.1 * SAMPLE / n), seed=seed).limit(SAMPLE).toArrow()
-    depth = min(MAX_DEPTH, max(0, math.floor(math.log2(n / leaf_rows))))
+    sample = reps.select("vec").sample(min(1.0, 1.1 * sample_rows / n), seed=seed).limit(sample_rows).toArrow()
+    sample = _matrix(sample.column("vec"), dim) if sample.num_rows else np.zeros((0, dim), np.float32)
+    depth = max(0, math.floor(math.log2(min(n / leaf_rows, max(1, sample_rows // SAMPLE_ROWS_A_LEAF)))))
     trees = trees if depth else 1  # one leaf holds all
-    forest = spark.sparkContext.broadcast(Forest(_matrix(sample.column("vec"), dim) if sample.num_rows else np.zeros((0, dim), np.float32), trees, depth, seed))
+    forest = Forest(sample, trees, depth, seed)
     probes = max(trees, min(leaves, trees << depth))
-    routed = reps.select("id", "vec", "asks").mapInArrow(_router(forest, probes, dim), "leaf int, role tinyint, id bigint, vec binary")
-    ranked = routed.groupBy("leaf").applyInArrow(_ranker(k, dim), "id bigint, near binary, dist binary")
+    some = forest.probe(sample[:ASKED], probes)
+    reached = np.bincount(some.ravel(), minlength=trees << depth) * (n / max(1, len(some)))
+    slices = np.maximum(1, np.ceil(reached / (SLICE * leaf_rows))).astype(np.int64) if depth else np.ones(trees, np.int64)
+    shared = spark.sparkContext.broadcast((forest, slices))
+    routed = reps.select("id", "vec", "asks").mapInArrow(_router(shared, probes, dim), "leaf int, slice int, role tinyint, id bigint, vec binary")
+    ranked = routed.groupBy("leaf", "slice").applyInArrow(_ranker(k, dim, leaf_rows, leaves, seed), "id bigint, near binary, dist binary")
     lists = ranked.groupBy("id").agg(F.collect_list(F.struct("near", "dist")).alias("found"))
     found = lists.mapInArrow(_merge(k), "id bigint, near array<bigint>, dist array<double>")
     if size["m"] > n:

@@ -82,3 +82,21 @@ def test_queue_equals_full_ranking():
         rank_of = {k: r for r, k in ranks}  # leaves below one far node share its priority
         assert len(set(got.tolist())) == 9
         assert sorted(rank_of[k] for k in got.tolist()) == pytest.approx(sorted(r for r, _ in ranks)[:9], abs=1e-5)
+
+
+@pytest.mark.parametrize("slice_rows", [16, 0.5])
+def test_leaves_split_again_and_given_out_in_slices(spark, monkeypatch, slice_rows):
+    """A small sample leaves large leaves, which trees of their own vectors split."""
+    monkeypatch.setattr("strandloom.llm.vectors.SLICE", slice_rows)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 8)) * 3
+    x = (centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 8))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x)], SCHEMA)
+    got = collected(nearest_vectors(df, dim=8, queries=F.col("id") % 20 == 0, leaf_rows=60, sample_rows=130))
+    hits = 0
+    for i in range(0, 3000, 20):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & {j for j, _ in got[i]})
+        assert len(got[i]) == 10 and len({j for j, _ in got[i]}) == 10
+    assert hits / 1500 > 0.9
