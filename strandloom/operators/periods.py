@@ -4,9 +4,11 @@ The starts and the ends of an entity are sorted independently.  Between the i-th
 start lies a gap exactly if the next-ranked start exceeds the i-th end; the start after a gap and
 the end before the next one bound a continuous period.  Touching intervals have no gap.
 
-An entity that holds many rows is cut into position blocks: each block does the above on its own
-and blocks are linked by their outer boundaries only, one row per block.  Whether an entity is cut
-is decided by a count per hash bucket of the entities (at most ``BUCKETS`` rows reach the driver).
+An entity that holds many rows is cut into blocks of successive starts: each block does the above on
+its own and blocks are linked by their outer boundaries only, one row per block.  Blocks come from a
+range partitioning of the rows by (entity, start), whose bounds are quantiles of the starts, so a
+dense locus is cut too.  Rows are counted by entity only within those of ``BUCKETS`` hash buckets
+that could hold a large entity.
 
 Defined cases: rows with a null in the entity, start or end, or with end <= start, don't count;
 repeated rows change nothing; an empty table gives no rows; further columns are ignored.
@@ -14,13 +16,19 @@ repeated rows change nothing; an empty table gives no rows; further columns are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Bound of what is collected and broadcast to plan the blocks.
+from ..session import cut_lineage
+
+#: Bound of what is collected to plan the blocks.
 BUCKETS = 16384
+#: Up to so many large entities are broadcast to tell their rows apart.
+ENTITIES = 20_000
 ROWS_PER_BLOCK = 250_000
 
 _SMALL = (T.IntegerType, T.ShortType, T.ByteType)
@@ -70,7 +78,6 @@ def _inner_events(p: str) -> Column:
 
 def periods_and_gaps(df: DataFrame, entity: list[str], start: str = "start", end: str = "end", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """``entity``, ``kind`` ('period' or 'gap'), ``from_pos``, ``to_pos``, half-open."""
-    spark = df.sparkSession
     packed = all(isinstance(df.schema[c].dataType, _SMALL) for c in (start, end))
     kind = "int" if packed else df.schema[start].dataType.simpleString()
     keys = [f"__e{k}" for k in range(len(entity))]
@@ -83,14 +90,21 @@ def periods_and_gaps(df: DataFrame, entity: list[str], start: str = "start", end
     else:
         rows = rows.withColumn("__x", F.struct("__s", "__t"))
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    counted = rows.groupBy(bucket.alias("__h")).agg(F.count(F.lit(1)).alias("n"), F.min("__s").alias("a"), F.max("__s").alias("b"))
-    large = [(r["__h"], r["a"], max(1, -(-(r["b"] - r["a"] + 1) // -(-r["n"] // rows_per_block)))) for r in counted.where(F.col("n") > rows_per_block).collect()]
-    if not large:
+    counted = rows.groupBy(bucket.alias("__h")).agg(F.count(F.lit(1)).alias("n"))
+    full = [r["__h"] for r in counted.where(F.col("n") > rows_per_block).collect()]
+    n_large = 0
+    if full:
+        near = rows.select(*keys) if len(full) > BUCKETS // 2 else rows.select(*keys).where(bucket.isin(full))
+        large = cut_lineage(near.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_block))
+        n_large, n_rows = large.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    if not n_large:
         out = _whole(rows, keys, packed)
     else:
-        blocks = F.broadcast(spark.createDataFrame(large, "__h int, __a bigint, __w bigint"))
-        tagged = rows.withColumn("__h", bucket).join(blocks, "__h", "left")
-        out = _whole(tagged.where("__a is null"), keys, packed).unionByName(_blocked(tagged.where("__a is not null"), keys, packed))
+        names = large.select(*keys)
+        names = F.broadcast(names) if n_large <= ENTITIES else names
+        blocks = max(2, math.ceil(2 * n_rows / rows_per_block))
+        cut = rows.join(names, keys, "left_semi").repartitionByRange(blocks, *keys, "__s").withColumn("__b", F.spark_partition_id())
+        out = _whole(rows.join(names, keys, "left_anti"), keys, packed).unionByName(_blocked(cut, keys, packed))
     return out.select(*[F.col(k).alias(c) for c, k in zip(entity, keys)], "kind", F.col("from_pos").cast(kind), F.col("to_pos").cast(kind))
 
 
@@ -100,9 +114,8 @@ def _whole(rows: DataFrame, keys: list[str], packed: bool) -> DataFrame:
     return periods.select(*keys, F.inline(_inner_events("__p")))
 
 
-def _blocked(rows: DataFrame, keys: list[str], packed: bool) -> DataFrame:
+def _blocked(cut: DataFrame, keys: list[str], packed: bool) -> DataFrame:
     at = [*keys, "__b"]
-    cut = rows.withColumn("__b", F.expr("(__s - __a) div __w"))
     # a block holds each distinct interval once, so copies of one interval are no load
     grouped = cut.groupBy(*at).agg(F.collect_set("__x").alias("__set"))
     local = _boundaries(grouped, at, packed).select(*_periods(at))

@@ -100,6 +100,15 @@ def test_periods_whole_and_in_blocks(spark, kind, block):
     assert periods_and_gaps(df.limit(0), ["e"]).count() == 0
 
 
+def test_dense_locus_is_cut(spark):
+    """Nearly all starts of an entity in a small part of its range."""
+    rows = [("a", k % 1500, k % 1500 + 1 + k % 3) for k in range(0, 6000, 2)] + [("a", 10**9, 10**9 + 5), ("b", 1, 2)]
+    df = spark.createDataFrame(rows, "e string, start int, end int")
+    assert Counter(tuple(r) for r in periods_and_gaps(df, ["e"], rows_per_block=500).collect()) == brute_periods(rows)
+    cut = df.repartitionByRange(12, "e", "start").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in cut) < 1000
+
+
 def test_weighted_results(spark):
     rnd = random.Random(2)
     rows = [(rnd.choice(["x", "x", "x", "y", None]), rnd.choice([None, 1, 2, 3, 5000, 9000]), rnd.choice("pq")) for _ in range(300)]
