@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tails import benjamini_hochberg, poisson_cdf, poisson_quantile
+from ..session import cut_lineage
 from .fragments import insertions, merge_cells, nucleosome_counts
-from .overlap import tile_matrix
 from .ranges import checked_broadcast, distance_to_nearest, extend_ranges, merge_ranked, points_in_ranges, range_join
 
 # Windows around transcription starts, in bases.
@@ -63,18 +63,21 @@ def call_peaks(frags: DataFrame, chrom_sizes: DataFrame, groups: DataFrame, geno
     sites = insertions(pooled.select("chr", "start", "end", F.col("cell_group"))).select("chr", "pos", "cell_group").join(sizes, "chr").where("pos >= 0 and pos < chr_size")
     if genome_size is None:
         genome_size = float(chrom_sizes.agg(F.sum("chr_size")).first()[0] or 0)
-    background = sites.groupBy("cell_group").agg((F.count(F.lit(1)) / F.lit(genome_size) * peak_width).alias("bg"))
+    # cut sites are counted once, in the pieces between the starts of any offset's tiles
+    offsets = [peak_width * k // peak_tiling for k in range(1, peak_tiling + 1)]
+    within = F.pmod(F.col("pos"), F.lit(peak_width))
+    piece = (F.col("pos") - within + reduce(lambda x, o: F.greatest(x, F.when(within >= o, o).otherwise(0)), offsets[:-1], F.lit(0))).cast("int")
+    pieces = cut_lineage(sites.groupBy("cell_group", "chr", piece.alias("piece"), "chr_size").agg(F.count(F.lit(1)).alias("n")))
+    background = pieces.groupBy("cell_group").agg((F.sum("n") / F.lit(genome_size) * peak_width).alias("bg"))
     background = background.withColumn("least", poisson_quantile(F.lit(1 - fdr), F.col("bg")))
-    parts = []
-    for offset in [peak_width * k // peak_tiling for k in range(1, peak_tiling + 1)]:
-        total = chrom_sizes.agg(F.sum(F.when(F.col("chr_size") > offset, F.ceil((F.col("chr_size") - offset) / peak_width)).otherwise(0)).alias("tiles"))
-        start = (F.floor((F.col("pos") - offset) / peak_width) * peak_width + offset).cast("int")
-        tiles = sites.where(F.col("pos") >= offset).groupBy("cell_group", "chr", start.alias("start"), "chr_size").agg(F.count(F.lit(1)).alias("n"))
-        rich = tiles.join(checked_broadcast(background), "cell_group").where("n > least").crossJoin(F.broadcast(total))  # one row a group, one row
-        rich = rich.withColumn("p_val", poisson_cdf(F.col("bg"), F.col("n").cast("double")))
-        tested = benjamini_hochberg(rich, ["cell_group"], "p_val", "tiles", "q_val").where(F.col("q_val") < fdr)
-        parts.append(tested.select("cell_group", "chr", "start", F.least(F.col("start") + peak_width, "chr_size").alias("end"), "n", "p_val", "q_val", (F.col("n") / F.col("bg")).alias("enrichment")))
-    peaks = reduce(DataFrame.unionByName, parts)
+    tiles_of = lambda o: F.sum(F.when(F.col("chr_size") > o, F.ceil((F.col("chr_size") - o) / peak_width)).otherwise(0))
+    totals = chrom_sizes.agg(*[tiles_of(o).alias(f"t{o}") for o in offsets]).select(F.inline(F.array(*[F.struct(F.lit(o).alias("offset"), F.col(f"t{o}").alias("tiles")) for o in offsets])))  # a row an offset
+    begins = F.array(*[F.struct(F.lit(o).alias("offset"), (F.floor((F.col("piece") - o) / peak_width) * peak_width + o).cast("int").alias("start")) for o in offsets])
+    tiles = pieces.select("cell_group", "chr", "chr_size", "n", F.inline(begins)).where("start >= offset").groupBy("offset", "cell_group", "chr", "start", "chr_size").agg(F.sum("n").alias("n"))
+    rich = tiles.join(checked_broadcast(background), "cell_group").where("n > least").join(F.broadcast(totals), "offset")
+    rich = rich.withColumn("p_val", poisson_cdf(F.col("bg"), F.col("n").cast("double")))
+    tested = benjamini_hochberg(rich, ["offset", "cell_group"], "p_val", "tiles", "q_val").where(F.col("q_val") < fdr)
+    peaks = tested.select("cell_group", "chr", "start", F.least(F.col("start") + peak_width, "chr_size").alias("end"), "n", "p_val", "q_val", (F.col("n") / F.col("bg")).alias("enrichment"))
     if merge == "none":
         return peaks
     place = Window.partitionBy("cell_group").orderBy(F.desc("enrichment"), "chr", "start")
@@ -122,8 +125,13 @@ def gene_weights(genes: DataFrame, chrom_sizes: DataFrame, blacklist: DataFrame
 def gene_scores(frags: DataFrame, genes: DataFrame, chrom_sizes: DataFrame, blacklist: DataFrame | None = None, tile_width: int = 500, max_count: int = 4, scale: float = 10_000.0) -> DataFrame:
     """``gene_id, cell_id, score``: weighted cut sites near genes, at most ``max_count`` a tile,
     scaled to ``scale`` per cell."""
-    regions = chrom_sizes.select(F.col("chr").alias("region_id"), "chr", F.lit(0).alias("start"), F.col("chr_size").cast("int").alias("end"), F.lit(tile_width).alias("tile_width"))
-    tiles = tile_matrix(frags, regions).select(F.col("region_id").alias("chr"), F.col("tile_no").alias("tile"), "cell_id", F.least("n", F.lit(max_count)).alias("n"))
-    score = tiles.join(gene_weights(genes, chrom_sizes, blacklist, tile_width), ["chr", "tile"]).groupBy("gene_id", "cell_id").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
+    weights = gene_weights(genes, chrom_sizes, blacklist, tile_width)
+    # only tiles near a gene are counted
+    near = checked_broadcast(weights.select("chr", "tile").distinct())
+    sizes = checked_broadcast(chrom_sizes.select("chr", "chr_size"))
+    sites = insertions(frags.select("chr", "start", "end", "cell_id")).select("chr", "pos", "cell_id").join(sizes, "chr").where("pos >= 0 and pos < chr_size")
+    sites = sites.select("chr", F.floor(F.col("pos") / tile_width).cast("int").alias("tile"), "cell_id").join(near, ["chr", "tile"], "left_semi")
+    tiles = sites.groupBy("chr", "tile", "cell_id").agg(F.least(F.count(F.lit(1)), F.lit(max_count)).alias("n"))
+    score = tiles.join(checked_broadcast(weights), ["chr", "tile"]).groupBy("gene_id", "cell_id").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
     total = score.groupBy("cell_id").agg(F.sum("score").alias("__t"))
     return score.join(total, "cell_id").select("gene_id", "cell_id", (F.col("score") * scale / F.col("__t")).alias("score"))

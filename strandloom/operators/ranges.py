@@ -92,14 +92,22 @@ def range_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def select_overlapping(df: DataFrame, ranges: DataFrame, invert: bool = False) -> DataFrame:
-    """Rows of ``df`` that overlap any range (or, inverted, none).  Ranges are merged first, so no
-    row meets more than the periods it overlaps."""
+    """Rows of ``df`` that overlap any range (or, inverted, none); rows with nulls overlap none.
+
+    Ranges are merged first, then put into their bins and the bin before the first one, at each
+    level.  A row no wider than a bin of its level meets every range it overlaps in the bin where it
+    starts, so a semi-join on that bin suffices: rows are neither repeated nor tagged."""
     from .periods import periods_and_gaps
 
-    merged = periods_and_gaps(ranges, ["chr"]).where("kind = 'period'").select("chr", F.col("from_pos").alias("start"), F.col("to_pos").alias("end"))
-    tagged = df.withColumn("__uid", F.monotonically_increasing_id())
-    hit = range_join(tagged.select("__uid", "chr", "start", "end"), merged).select("__uid").distinct()
-    return tagged.join(hit, "__uid", "left_anti" if invert else "left_semi").drop("__uid")
+    merged = periods_and_gaps(ranges, ["chr"]).where("kind = 'period'").select(F.col("chr").alias("__rc"), F.col("from_pos").alias("__rs"), F.col("to_pos").alias("__re"))
+    sizes = [BIN * COARSER**k for k in range(LEVELS)]
+    spans = F.array(*[F.struct(F.lit(k).alias("l"), F.sequence(F.floor(F.col("__rs") / s) - 1, F.floor((F.col("__re") - 1) / s)).alias("b")) for k, s in enumerate(sizes)])
+    binned = merged.select("*", F.inline(spans)).select("__rc", "__rs", "__re", F.col("l").alias("__l"), F.explode("b").alias("__b"))
+    width = F.col("end") - F.col("start")
+    level = F.when(width > sizes[1], 2).when(width > sizes[0], 1).otherwise(0)
+    place = F.floor(F.col("start") / F.element_at(F.array(*map(F.lit, sizes)), level + 1))
+    cond = (F.col("chr") == F.col("__rc")) & (level == F.col("__l")) & (place == F.col("__b")) & (F.col("start") < F.col("__re")) & (F.col("end") > F.col("__rs")) & (width > 0)
+    return df.join(checked_broadcast(binned), cond, "left_anti" if invert else "left_semi")
 
 
 def normalize_ranges(df: DataFrame, text: str = "range", zero_based: bool = False) -> DataFrame:

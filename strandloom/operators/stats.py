@@ -64,14 +64,22 @@ def axis_max(m: SparseMatrix, axis: str) -> DataFrame:
     return every.join(agg, axis, "left").select(axis, value.alias("max"))
 
 
+def _value_ranks(m: SparseMatrix, axis: str) -> DataFrame:
+    """``axis, val, n, upto, k``: rows with the value, up to it and in all.  Equal values are counted
+    before any sorting, so a row with most of the entries is no large task unless all differ."""
+    counts = m.entries.groupBy(axis, "val").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(axis)
+    return counts.select("*", F.sum("n").over(w.orderBy("val").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("k"))
+
+
 _QUANTILE_FORMS = {4: (0.0, 1.0), 5: (0.5, 0.5), 6: (0.0, 0.0), 7: (1.0, 1.0), 8: (1 / 3, 1 / 3), 9: (3 / 8, 3 / 8)}
 
 
 def axis_quantiles(m: SparseMatrix, axis: str, probs: list[float], form: int = 7) -> DataFrame:
     """``axis, prob, quantile`` of the continuous forms 4 to 9, zeros included.
 
-    A stored value's rank is its rank among the stored ones, plus the zeros if it is positive; the
-    two order statistics are picked from the stored values, and are 0 at ranks of zeros."""
+    A stored value's ranks are those among the stored ones, plus the zeros if it is positive; the
+    two order statistics are picked from the counted values, and are 0 at ranks of zeros."""
     if form not in _QUANTILE_FORMS:
         raise ValueError("forms 4 to 9 are possible")
     m._plain("a quantile")
@@ -79,9 +87,8 @@ def axis_quantiles(m: SparseMatrix, axis: str, probs: list[float], form: int = 7
     alpha, beta = _QUANTILE_FORMS[form]
     if form == 4:
         alpha, beta = 0.0, 1.0
-    w = Window.partitionBy(axis)
-    stored = m.entries.select(axis, "val", F.row_number().over(w.orderBy("val")).alias("r"), F.count(F.lit(1)).over(w).alias("k"))
-    stored = stored.withColumn("r", F.col("r") + F.when(F.col("val") > 0, n - F.col("k")).otherwise(0)).select(axis, "r", "val")
+    stored = _value_ranks(m, axis)
+    stored = stored.withColumn("last", F.col("upto") + F.when(F.col("val") > 0, n - F.col("k")).otherwise(0)).withColumn("r", F.col("last") - F.col("n") + 1)
     spots = []
     for p in probs:
         at = p * n + alpha + p * (1 - alpha - beta)
@@ -90,7 +97,8 @@ def axis_quantiles(m: SparseMatrix, axis: str, probs: list[float], form: int = 7
     ask = F.array(*[F.struct(F.lit(p).alias("prob"), F.lit(k).alias("low"), F.lit(g).alias("g")) for p, k, g in spots])
     want = every.select(axis, F.inline(ask))
     ranks = sorted({r for _, k, _ in spots for r in (k, k + 1)})
-    picked = stored.where(F.col("r").isin(ranks))
+    asked = F.filter(F.array(*map(F.lit, ranks)), lambda x: (x >= F.col("r")) & (x <= F.col("last")))
+    picked = stored.select(axis, "val", F.explode(asked).alias("r"))
     lo = picked.select(axis, F.col("r").alias("low"), F.col("val").alias("x0"))
     hi = picked.select(axis, (F.col("r") - 1).alias("low"), F.col("val").alias("x1"))
     zero = F.lit(0.0)
@@ -115,12 +123,19 @@ def rank_transform(m: SparseMatrix, axis: str) -> SparseMatrix:
     """Average ranks along an axis (``row``: within each row), moved so that zeros have rank 0."""
     m._plain("a rank")
     _, n, _, _ = _axis(m, axis)
-    w = Window.partitionBy(axis)
-    e = m.entries.select("row", "col", "val", F.rank().over(w.orderBy("val")).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(axis, "val")).alias("t"), F.count(F.lit(1)).over(w).alias("k"), F.count_if(F.col("val") < 0).over(w).alias("neg"))
+    v = _value_ranks(m, axis)
+    ranks = v.select(axis, "val", _moved_rank(n, v["n"], F.sum(F.when(F.col("val") < 0, F.col("n")).otherwise(0)).over(Window.partitionBy(axis))).alias("rank"))
+    e = m.entries.join(ranks, [axis, "val"]).select("row", "col", F.col("rank").alias("val"))
+    return SparseMatrix(e.where("val <> 0"), m.nrow, m.ncol)
+
+
+def _moved_rank(n: int, t: Column, neg: Column) -> Column:
+    """The average rank of ``t`` equal values that end at ``upto`` of ``k`` stored ones, less that of
+    the zeros."""
     zeros = n - F.col("k")
-    average = F.col("r") + (F.col("t") - 1) / 2 + F.when(F.col("val") > 0, zeros).otherwise(0)
-    at_zero = F.when(zeros > 0, F.col("neg") + (1 + zeros) / 2).otherwise(0.0)
-    return SparseMatrix(e.select("row", "col", (average - at_zero).cast("double").alias("val")).where("val <> 0"), m.nrow, m.ncol)
+    average = F.col("upto") - (t - 1) / 2 + F.when(F.col("val") > 0, zeros).otherwise(0)
+    at_zero = F.when(zeros > 0, neg + (1 + zeros) / 2).otherwise(0.0)
+    return (average - at_zero).cast("double")
 
 
 def tie_statistics(m: SparseMatrix, axis: str) -> DataFrame:
@@ -139,10 +154,16 @@ def marker_features(m: SparseMatrix, groups: DataFrame, with_p: bool = True) ->
 
     n = m.ncol
     g = checked_broadcast(groups.select(F.col("idx").alias("col"), "cell_group"))
-    ranks = rank_transform(m, "row").entries.withColumnRenamed("val", "rank")
-    both = m.entries.join(ranks, ["row", "col"], "left").select("row", "col", "val", F.coalesce("rank", F.lit(0.0)).alias("rank"))
-    by = both.join(g, "col").groupBy("row", "cell_group").agg(F.sum("rank").alias("rg"), F.sum("val").alias("sg"))
-    total = both.groupBy("row").agg(F.sum("rank").alias("rt"), F.sum("val").alias("st"))
+    # all from the frequencies of (row, value, group); one shuffle of them
+    counts = m.entries.join(g, "col", "left").groupBy("row", "val", "cell_group").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("row")
+    counts = counts.select(
+        "*", F.sum("c").over(Window.partitionBy("row", "val")).alias("n"), F.sum("c").over(w.orderBy("val").rangeBetween(Window.unboundedPreceding, 0)).alias("upto"),
+        F.sum("c").over(w).alias("k"), F.sum(F.when(F.col("val") < 0, F.col("c")).otherwise(0)).over(w).alias("neg"),
+    )
+    ranked = counts.select("row", "cell_group", (F.col("c") * _moved_rank(n, F.col("n"), F.col("neg"))).alias("r"), (F.col("c") * F.col("val")).alias("s"))
+    by = ranked.groupBy("row", "cell_group").agg(F.sum("r").alias("rg"), F.sum("s").alias("sg"))
+    total = by.groupBy("row").agg(F.sum("rg").alias("rt"), F.sum("sg").alias("st"))
     size = groups.groupBy("cell_group").agg(F.count(F.lit(1)).alias("n1"))
     full = m.rows().crossJoin(checked_broadcast(size)).join(by, ["row", "cell_group"], "left").join(total, "row", "left").join(tie_statistics(m, "row"), "row")
     z0 = F.lit(0.0)
