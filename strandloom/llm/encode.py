@@ -2,7 +2,10 @@
 
 1. Each text is cut where a rolling hash of the preceding bytes says so, hence equal passages are
    cut alike wherever they stand (content-defined chunks).
-2. Every distinct chunk is encoded once.
+2. Chunks are put together by their digests and every distinct one is encoded once.  A text stands
+   with the first reference of a task only.  A chunk that a task has met ``COMMON`` times is encoded
+   in this task too, once, and its further references go to any partition: a passage in a third of
+   the corpus is no hot key, as each task sends no more than COMMON references of it to one place.
 3. The ids of a document are those of its chunks, joined.  A position with white space after a
    character that is none is a boundary of the tokenizer's words in every context.  So a chunk's
    ids are exact between its first and its last such position, and at a join the text from the
@@ -26,9 +29,7 @@ from pyspark.sql import functions as F
 from .tokens import TOKENIZERS, WHITE_SPACE, tokenizer
 
 WINDOW = 32
-#: A chunk found in at least this share of the chunk references is joined by broadcast, so that a
-#: passage in a third of the corpus is no hot key: at most 1 / HOT_SHARE chunks of MAX_CHUNK bytes.
-HOT_SHARE = 0.005
+COMMON = 4
 MIN_CHUNK, MAX_CHUNK = 96, 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,50 +138,79 @@ def join_chunks(chunks: list[tuple], tok) -> np.ndarray:
     return np.concatenate([np.asarray(x, dtype=np.int32) for x in out]) if out else np.empty(0, np.int32)
 
 
-def _chunker(average: int, with_text: bool):
+_CODED = pa.struct([("ids", pa.list_(pa.int32())), ("head", pa.string()), ("n_head", pa.int32()), ("tail", pa.string()), ("n_tail", pa.int32())])
+_CODED_DDL = "struct<ids:array<int>,head:string,n_head:int,tail:string,n_tail:int>"
+_FIELDS = ("ids", "head", "n_head", "tail", "n_tail")
+
+
+def _codes(codes: list[tuple | None]) -> pa.Array:
+    columns = [pa.array([None if c is None else c[k] for c in codes], f.type) for k, f in enumerate(_CODED)]
+    return pa.StructArray.from_arrays(columns, fields=list(_CODED), mask=pa.array([c is None for c in codes]))
+
+
+def _chunker(average: int, folder: str):
+    """References ``id, rid, seq, place, digest, chunk, code``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        met: dict[bytes, int] = {}
+        known: dict[bytes, tuple] = {}
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             size = 0
             for r, text in enumerate(batch.column(0).to_pylist()):
                 raw = text.encode() if text else b""
                 for seq, (a, b) in enumerate(chunk_spans(np.frombuffer(raw, np.uint8), average) if raw else [(0, 0)]):
                     piece = raw[a:b]
-                    for column, value in zip(out, (r, seq, xxhash.xxh3_128_digest(piece), piece.decode())):
+                    digest = xxhash.xxh3_128_digest(piece)
+                    n = met[digest] = met.get(digest, 0) + 1
+                    place, chunk, code = int.from_bytes(digest[:8], "little", signed=True), None, None
+                    if n == 1:
+                        chunk = piece.decode()
+                    elif n > COMMON:
+                        code = known.get(digest) or known.setdefault(digest, encode_chunk(piece.decode(), tokenizer(folder)))
+                        place = place + n * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF
+                    for column, value in zip(out, (r, seq, place, digest, chunk, code)):
                         column.append(value)
                     size += b - a
                 if size > 8 << 20:
-                    yield _chunk_batch(batch, out, with_text)
-                    out, size = ([], [], [], []), 0
+                    yield _chunk_batch(batch, out)
+                    out, size = ([], [], [], [], [], []), 0
             if out[0]:
-                yield _chunk_batch(batch, out, with_text)
+                yield _chunk_batch(batch, out)
 
     return run
 
 
-def _chunk_batch(batch: pa.RecordBatch, out: tuple, with_text: bool) -> pa.RecordBatch:
-    row, seq, digest, piece = out
-    if with_text:
-        return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(piece, pa.string())], names=["digest", "chunk"])
-    kept = [batch.column(k).take(pa.array(row, pa.int64())) for k in range(1, batch.num_columns)]
-    names = batch.schema.names[1:]
-    return pa.RecordBatch.from_arrays([*kept, pa.array(seq, pa.int32()), pa.array(digest, pa.binary())], names=[*names, "seq", "digest"])
-
-
-_CODED = "digest binary, ids array<int>, head string, n_head int, tail string, n_tail int"
+def _chunk_batch(batch: pa.RecordBatch, out: tuple) -> pa.RecordBatch:
+    row, seq, place, digest, chunk, code = out
+    at = pa.array(row, pa.int64())
+    columns = [batch.column(1).take(at), batch.column(2).take(at), pa.array(seq, pa.int32()), pa.array(place, pa.int64()), pa.array(digest, pa.binary()), pa.array(chunk, pa.string()), _codes(code)]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "rid", "seq", "place", "digest", "chunk", "code"])
 
 
 def _encoder(folder: str):
+    """``id, rid, seq, code`` from references sorted by digest, the one with the text first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(folder)
+        last, code = None, None
         for batch in batches:
-            coded = [encode_chunk(x.as_py(), tok) for x in batch.column(1)]
-            columns = list(zip(*coded)) or [[]] * 5
-            kinds = (pa.list_(pa.int32()), pa.string(), pa.int32(), pa.string(), pa.int32())
-            arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["digest", "ids", "head", "n_head", "tail", "n_tail"])
+            ready, new, at = batch.column("code"), [code], []
+            chunks, coded = batch.column("chunk"), ready.is_valid().to_pylist()
+            for k, digest in enumerate(batch.column("digest").to_pylist()):
+                if coded[k]:
+                    at.append(-k - 1)
+                    continue
+                if digest != last:
+                    last, code = digest, encode_chunk(chunks[k].as_py(), tok)
+                    new.append(code)
+                at.append(len(new) - 1)
+            both = pa.concat_arrays([_codes(new), ready])
+            place = np.asarray(at, np.int64)
+            both = both.take(pa.array(np.where(place < 0, len(new) - 1 - place, place)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "rid", "seq")), *both.flatten()], names=["id", "rid", "seq", *_FIELDS])
 
     return run
 
@@ -212,36 +242,14 @@ def _joiner(folder: str):
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, average: int = 512) -> DataFrame:
     """``id_col`` and ``ids``, one row for each row of ``docs``.
 
-    Shuffles: the distinct chunks (combined before it), the chunk references, and the references
+    Shuffles: the chunk references with the distinct texts of each task, and the coded references
     by document.  A document is one row, so a group is never larger than its text.
     """
-    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"))
-    refs = rows.mapInArrow(_chunker(average, False), f"id {id_type}, rid bigint, seq int, digest binary")
-    chunks = rows.select("text").mapInArrow(_chunker(average, True), "digest binary, chunk string")
-    hot = _hot_chunks(rows.select("text"), average)
-    if hot:  # encoded apart and broadcast: no more than 1 / HOT_SHARE chunks of MAX_CHUNK bytes
-        common = spark.createDataFrame([(bytearray(x), t) for x, t in hot], "digest binary, chunk string")
-        keys = F.broadcast(common.select("digest"))
-        few = F.broadcast(common.mapInArrow(_encoder(folder), _CODED))
-        coded = chunks.join(keys, "digest", "left_anti").dropDuplicates(["digest"]).mapInArrow(_encoder(folder), _CODED)
-        parts = refs.join(keys, "digest", "left_anti").join(coded, "digest").unionByName(refs.join(few, "digest"))
-    else:
-        parts = refs.join(chunks.dropDuplicates(["digest"]).mapInArrow(_encoder(folder), _CODED), "digest")
-    parts = parts.groupBy("id", "rid").agg(F.sort_array(F.collect_list(F.struct("seq", "ids", "head", "n_head", "tail", "n_tail"))).alias("chunks"))
+    refs = rows.mapInArrow(_chunker(average, folder), f"id {id_type}, rid bigint, seq int, place bigint, digest binary, chunk string, code {_CODED_DDL}")
+    refs = refs.repartition("place").sortWithinPartitions("digest", F.col("chunk").isNull())
+    parts = refs.mapInArrow(_encoder(folder), f"id {id_type}, rid bigint, seq int, ids array<int>, head string, n_head int, tail string, n_tail int")
+    parts = parts.groupBy("id", "rid").agg(F.sort_array(F.collect_list(F.struct("seq", *_FIELDS))).alias("chunks"))
     ids = parts.select("id", "chunks").mapInArrow(_joiner(folder), f"id {id_type}, ids array<int>")
     return ids.select(F.col("id").alias(id_col), "ids")
-
-
-def _hot_chunks(texts: DataFrame, average: int, about: int = 20000) -> list[tuple[bytes, str]]:
-    """Chunks that a sample of about ``about`` texts shows to be very common.  This chooses how a
-    chunk is joined, never what is encoded."""
-    n = texts.count()
-    if not n:
-        return []
-    sample = texts.sample(min(1.0, about / n), seed=7).mapInArrow(_chunker(average, True), "digest binary, chunk string")
-    counts = sample.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("chunk"))
-    total = sample.count()
-    least = max(64, HOT_SHARE * total)
-    return [(bytes(r["digest"]), r["chunk"]) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).collect()]
