@@ -32,6 +32,29 @@ def select_chromosomes(df: DataFrame, names: list[str]) -> DataFrame:
     return df.where(F.col("chr").isin(names)).withColumn("chr_id", (F.array_position(F.array(*map(F.lit, names)), F.col("chr")) - 1).cast("int"))
 
 
+def picked(names: list[str], chosen: list[int] | list[bool]) -> list[str]:
+    """The names at indexes (from 0; negative ones count from the end) or where a mask holds."""
+    if chosen and all(isinstance(k, bool) for k in chosen):
+        if len(chosen) != len(names):
+            raise ValueError("a mask must be as long as the names")
+        return [n for n, k in zip(names, chosen) if k]
+    if len({k % len(names) for k in chosen}) != len(chosen) or any(not -len(names) <= k < len(names) for k in chosen):
+        raise ValueError("indexes must be distinct and within the names")
+    return [names[k] for k in chosen]
+
+
+def select_chromosomes_at(df: DataFrame, chosen: list[int] | list[bool]) -> DataFrame:
+    """Chromosomes by index or mask over their sorted names (one row each, a few hundred)."""
+    return select_chromosomes(df, picked(sorted(r[0] for r in df.where("chr is not null").select("chr").distinct().collect()), chosen))
+
+
+def select_cells_at(df: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Cells by index (``idx``, from 0) over their sorted names."""
+    names = df.where("cell_id is not null").select("cell_id").distinct()
+    counted = names.rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().toDF("cell_id string, idx bigint")
+    return select_cells(df, counted.join(checked_broadcast(chosen.select("idx").distinct()), "idx", "left_semi"))
+
+
 def select_cells(df: DataFrame, cells: DataFrame) -> DataFrame:
     """Fragments of the cells (distinct ``cell_id``) of another table."""
     return df.join(checked_broadcast(cells.select("cell_id").distinct()), "cell_id", "left_semi")

@@ -9,7 +9,9 @@ only ``densify`` does.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ class SparseMatrix:
         return replace(self, entries=entries.where("val <> 0"))
 
     def _plain(self, what: str) -> None:
-        if self.row_shift is not None or self.col_shift is not None or self.shift:
+        if self.shifted:
             raise ValueError(f"{what} needs a matrix without dense terms; densify it first")
 
     def map(self, expr: Column) -> "SparseMatrix":
@@ -73,8 +75,22 @@ class SparseMatrix:
         rows, cols = normalize_index(key, (self.nrow, self.ncol))
         return self.select(rows, cols)
 
+    @property
+    def shifted(self) -> bool:
+        return self.row_shift is not None or self.col_shift is not None or bool(self.shift)
+
+    def _with_shift(self, cells: DataFrame) -> DataFrame:
+        """``cells`` (with ``row, col``) and ``__d``, what the dense terms add there."""
+        add = F.lit(float(self.shift))
+        for axis, vec, name in (("row", self.row_shift, "__rv"), ("col", self.col_shift, "__cv")):
+            if vec is not None:
+                cells = cells.join(checked_broadcast(vec.select(F.col("idx").alias(axis), F.col("v").alias(name))), axis, "left")
+                add = add + F.coalesce(name, F.lit(0.0))
+        return cells.withColumn("__d", add).drop("__rv", "__cv")
+
     def assign(self, rows: list[int], cols: list[int], value: "SparseMatrix") -> "SparseMatrix":
-        """The matrix with the submatrix at ``rows, cols`` replaced."""
+        """The matrix with the submatrix at ``rows, cols`` replaced.  If either has dense terms, all
+        its cells (the caller names them) are stored, less what the terms add there."""
         if (value.nrow, value.ncol) != (len(rows), len(cols)):
             raise ValueError("the value has another shape")
         spark = self.entries.sparkSession
@@ -82,12 +98,24 @@ class SparseMatrix:
         c = F.broadcast(spark.createDataFrame(list(enumerate(cols)), "ci bigint, c bigint"))
         inside = self.entries.join(r, F.col("row") == F.col("r"), "left").join(c, F.col("col") == F.col("c"), "left")
         kept = inside.where("r is null or c is null").select("row", "col", "val")
-        new = value.entries.join(r, F.col("row") == F.col("ri")).join(c, F.col("col") == F.col("ci")).select(F.col("r").alias("row"), F.col("c").alias("col"), "val")
-        return replace(self, entries=kept.unionByName(new))
+        cells = value.densify() if self.shifted or value.shifted else value.entries
+        new = cells.join(r, F.col("row") == F.col("ri")).join(c, F.col("col") == F.col("ci")).select(F.col("r").alias("row"), F.col("c").alias("col"), "val")
+        if self.shifted:
+            new = self._with_shift(new).select("row", "col", (F.col("val") - F.col("__d")).alias("val"))
+        return self._with(kept.unionByName(new))
 
     def mask(self, other: "SparseMatrix", invert: bool = False) -> "SparseMatrix":
-        """Entries where ``other`` is zero, or inverted, where it isn't."""
-        return self._with(self.entries.join(other.entries.select("row", "col"), ["row", "col"], "left_semi" if invert else "left_anti"))
+        """Elements where ``other`` is zero, or inverted, where it isn't; the rest becomes 0."""
+        other._plain("a mask")
+        cells = other.entries.select("row", "col")
+        if not self.shifted:
+            return self._with(self.entries.join(cells, ["row", "col"], "left_semi" if invert else "left_anti"))
+        there = self._with_shift(cells)
+        if invert:
+            found = there.join(self.entries, ["row", "col"], "left").select("row", "col", (F.coalesce("val", F.lit(0.0)) + F.col("__d")).alias("val"))
+            return SparseMatrix(found.where("val <> 0"), self.nrow, self.ncol)
+        kept = self.entries.join(cells, ["row", "col"], "left_anti")
+        return self._with(kept.unionByName(there.select("row", "col", (-F.col("__d")).alias("val"))))
 
     @property
     def t(self) -> "SparseMatrix":
@@ -134,18 +162,32 @@ class SparseMatrix:
         """Values cut toward zero."""
         return self.map(F.col("val").cast("bigint").cast("double"))
 
-    def _vector(self, axis: str, vec: DataFrame, expr: Column) -> "SparseMatrix":
+    def _vector(self, axis: str, vec: DataFrame, expr: Column, how: str) -> "SparseMatrix":
         self._plain("this function")
         v = checked_broadcast(vec.select("idx", "v"))
-        e = self.entries.join(v, F.col(axis) == F.col("idx")).select("row", "col", expr.alias("val"))
+        e = self.entries.join(v, F.col(axis) == F.col("idx"), how).select("row", "col", expr.alias("val"))
         return self._with(e)
 
     def min_by(self, axis: str, vec: DataFrame) -> "SparseMatrix":
-        return self._vector(axis, vec, F.least("val", "v"))
+        """At most the number of the row or column; those the vector lacks stay as they are.  A
+        bound that isn't positive would change zeros and raises."""
+        bound = F.when(F.col("v") > 0, F.col("v")).when(F.col("v").isNotNull(), F.raise_error(F.lit("bounds must be positive")).cast("double"))
+        return self._vector(axis, vec, F.least("val", F.coalesce(bound, "val")), "left")
 
     def multiply_by(self, axis: str, vec: DataFrame) -> "SparseMatrix":
         """Each row or column times its number; those the vector lacks become 0."""
-        return self._vector(axis, vec, F.col("val") * F.col("v"))
+        return self._vector(axis, vec, F.col("val") * F.col("v"), "inner")
+
+    def divide_by(self, axis: str, vec: DataFrame) -> "SparseMatrix":
+        """Each row or column divided by its number, which must not be 0."""
+        inverse = F.when(F.col("v") != 0, 1 / F.col("v")).otherwise(F.raise_error(F.lit("division by zero")).cast("double"))
+        return self.multiply_by(axis, vec.select("idx", inverse.alias("v")))
+
+    def __truediv__(self, c: float) -> "SparseMatrix":
+        return self.scale(1 / c)
+
+    def __rtruediv__(self, c: float) -> "SparseMatrix":
+        raise ValueError("a number divided by a sparse matrix is infinite nearly everywhere")
 
     def scale(self, c: float) -> "SparseMatrix":
         if c == 1:
@@ -326,10 +368,39 @@ def value_histogram(m: SparseMatrix, max_value: int) -> DataFrame:
     return m.entries.groupBy(F.least(F.col("val").cast("bigint"), F.lit(max_value + 1)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def checksum(m: SparseMatrix) -> DataFrame:
-    """One row: an order-free sum of hashes, the stored entries and the shape."""
-    h = F.pmod(F.xxhash64("row", "col", "val"), F.lit(1 << 31))
-    return m.entries.agg(F.coalesce(F.sum(h), F.lit(0)).alias("hash_sum"), F.count(F.lit(1)).alias("n_entries")).select("*", F.lit(m.nrow).alias("n_rows"), F.lit(m.ncol).alias("n_cols"))
+def checksum(m: SparseMatrix, by: str = "col", row_names: DataFrame | None = None, col_names: DataFrame | None = None, block: int = 1024) -> DataFrame:
+    """One row ``md5``: of the elements in the storage order ``by``, the shape and the names
+    (``idx, name``).  Digests of rows or columns are digested in blocks of ``block`` indexes, so only
+    one digest a block comes together in the end; a single row or column is one task's work."""
+    other = "row" if by == "col" else "col"
+    cell = F.struct(other, F.concat_ws(":", F.col(other).cast("string"), F.col("val").cast("string")).alias("t"))
+    lines = m.entries.groupBy(by).agg(F.md5(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(cell)), lambda x: x["t"]))).alias("d"))
+    parts = [lines.select(F.lit(0).alias("part"), F.col(by).alias("idx"), "d")]
+    for k, names in ((1, row_names), (2, col_names)):
+        if names is not None:
+            parts.append(names.select(F.lit(k).alias("part"), F.col("idx").cast("bigint").alias("idx"), F.md5("name").alias("d")))
+    all_parts = reduce(DataFrame.unionByName, parts)
+    line = F.struct("idx", F.concat_ws("=", F.col("idx").cast("string"), "d").alias("t"))
+    blocks = all_parts.groupBy("part", F.floor(F.col("idx") / block).alias("b")).agg(F.md5(F.concat_ws(";", F.transform(F.sort_array(F.collect_list(line)), lambda x: x["t"]))).alias("d"))
+    whole = F.concat_ws(";", F.transform(F.sort_array(F.collect_list(F.struct("part", "b", "d"))), lambda x: x["d"]))
+    return blocks.agg(F.md5(F.concat_ws("|", F.lit(f"{by}|{m.nrow}|{m.ncol}"), whole)).alias("md5"))
+
+
+@dataclass(frozen=True)
+class MatrixPlan:
+    """A result together with the matrices it is made from, so that these can be listed and
+    replaced: ``build`` makes the result from the inputs."""
+
+    inputs: tuple[SparseMatrix, ...]
+    build: Callable[..., SparseMatrix]
+
+    def result(self) -> SparseMatrix:
+        return self.build(*self.inputs)
+
+    def with_inputs(self, *inputs: SparseMatrix) -> "MatrixPlan":
+        if [(m.nrow, m.ncol) for m in inputs] != [(m.nrow, m.ncol) for m in self.inputs]:
+            raise ValueError("as many inputs of the same shapes are needed")
+        return replace(self, inputs=inputs)
 
 
 def membership(groups: DataFrame, order: list[str]) -> SparseMatrix:

@@ -11,20 +11,31 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Bins of the finest level, and how much coarser each further level is.
 BIN = 4096
 COARSER = 256
 LEVELS = 3
-#: A table is broadcast only after its rows were counted and are no more than this.
+#: A table is broadcast only after it was counted to have no more rows and bytes than this.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+
+
+def _bytes(field: T.StructField) -> Column:
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType)):
+        return F.greatest(F.size(field.name), F.lit(0)) * 8
+    return F.lit(8)
 
 
 def checked_broadcast(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted to have at most ``bound`` rows; else as it is,
-    for a shuffled join."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    """``df`` with a broadcast hint if it was counted to have at most ``bound`` rows and
+    BROADCAST_BYTES; else as it is, for a shuffled join."""
+    n, size = df.limit(bound + 1).agg(F.count(F.lit(1)), F.sum(reduce(Column.__add__, map(_bytes, df.schema.fields), F.lit(0).cast("bigint")))).first()
+    return F.broadcast(df) if n <= bound and (size or 0) <= BROADCAST_BYTES else df
 
 
 def _level(start: Column, end: Column) -> Column:
@@ -230,9 +241,21 @@ def gene_region(genes: DataFrame, symbol: str, upstream: int = 10_000, downstrea
     return extend_ranges(genes.where(F.col("gene_name") == symbol), upstream, downstream).select("chr", "start", "end", "strand")
 
 
-def file_names(df: DataFrame, name: str = "name") -> DataFrame:
+def file_names(df: DataFrame, name: str = "name", order: str | None = None) -> DataFrame:
     """``df`` with ``file_name``: characters other than letters, digits, ``-``, ``_`` and ``.``
-    replaced by ``_``, and a number appended to all but the first of equal results."""
+    replaced by ``_``, and a number appended to all but the first (by ``order``) of equal results."""
     clean = df.withColumn("__f", F.regexp_replace(name, "[^A-Za-z0-9._-]", "_"))
-    n = F.row_number().over(Window.partitionBy("__f").orderBy(name))
+    n = F.row_number().over(Window.partitionBy("__f").orderBy(order or name))
     return clean.withColumn("file_name", F.when(n == 1, F.col("__f")).otherwise(F.concat_ws("_", "__f", n.cast("string")))).drop("__f")
+
+
+def require_ranges(df: DataFrame, *further: str) -> DataFrame:
+    """``df`` if it has ``chr, start, end`` and the further columns with whole-number positions;
+    else an error that names what is missing or of another kind."""
+    missing = [c for c in ("chr", "start", "end", *further) if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    wrong = [c for c in ("start", "end") if not isinstance(df.schema[c].dataType, T.IntegralType)]
+    if wrong:
+        raise TypeError(f"positions must be whole numbers: {', '.join(wrong)}")
+    return df

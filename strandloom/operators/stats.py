@@ -186,3 +186,10 @@ def rolling_mean(df: DataFrame, group: list[str], order: str, value: str, k: int
     """Centred mean of ``k`` rows, null where the window is cut off."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(-((k - 1) // 2), k // 2)
     return df.withColumn(out, F.when(F.count(F.lit(1)).over(w) == k, F.avg(value).over(w)))
+
+
+def top_features(m: SparseMatrix, k: int, by: str = "variance") -> DataFrame:
+    """``row, score`` of the ``k`` rows with the largest mean, variance or dispersion (variance over
+    mean), ties to the smaller index."""
+    score = {"mean": F.col("mean"), "variance": F.col("variance"), "dispersion": F.try_divide(F.col("variance"), F.col("mean"))}[by]
+    return axis_stats(m, "row").select("row", score.alias("score")).orderBy(F.desc_nulls_last("score"), "row").limit(k)

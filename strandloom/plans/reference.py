@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import atac, fragments, graph, linalg, matrix, overlap, plotdata, ranges, stats
 from ..session import table
-from ..sources.files import gtf_features
+from ..sources.files import gtf_features, transcripts, whole_chromosomes
 from ..sources.raw_records import load_records, valid_records
 from ..streaming import tiles as stream_tiles
 from . import adapters as a
@@ -91,28 +91,49 @@ def f11_scan(spark, d):
     return fragments.scan(a.frags(spark, d))
 
 
-@query("SELECT true AS identical")
+_PAIRS = """{v}, b AS (SELECT {other} FROM {name}), x AS ((SELECT {cols} FROM {name} EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT {cols} FROM {name}))
+SELECT (SELECT count(*) FROM x) = 0 AS identical"""
+_F = 'frag_id, chr, start, "end", cell_id'
+
+
+@query(_PAIRS.format(v=views("frags"), name="frags", cols=_F, other='frag_id, chr, start + 3 - 3, "end", cell_id'))
 def f12_identical(spark, d):
     f = a.frags(spark, d)
     return fragments.identical(f, fragments.shift(fragments.shift(f, 3, 3), -3, -3))
 
 
+@query(_PAIRS.format(v=views("frags"), name="frags", cols=_F, other="frag_id, chr, start, \"end\", CASE WHEN start < 1000000 THEN 'x' ELSE cell_id END"))
+def f12_unequal(spark, d):
+    f = a.frags(spark, d)
+    return fragments.identical(f, f.withColumn("cell_id", F.when(F.col("start") < 1_000_000, "x").otherwise(F.col("cell_id"))))
+
+
+@query(f"{views('frags')} SELECT *, (list_position((SELECT [max(chr), min(chr)] FROM frags), chr) - 1)::INT AS chr_id FROM frags WHERE chr IN ((SELECT max(chr) FROM frags), (SELECT min(chr) FROM frags))")
+def f3_select_chromosomes_at(spark, d):
+    return fragments.select_chromosomes_at(a.frags(spark, d), [-1, 0])
+
+
+@query(f"{views('frags')}, k AS (SELECT cell_id, row_number() OVER (ORDER BY cell_id) - 1 AS idx FROM (SELECT DISTINCT cell_id FROM frags)) SELECT frags.* FROM frags JOIN k USING (cell_id) WHERE idx BETWEEN 10 AND 99")
+def f4_select_cells_at(spark, d):
+    return fragments.select_cells_at(a.frags(spark, d), spark.range(10, 100).withColumnRenamed("id", "idx"))
+
+
 @query(f"{views('frags', 'sites')} SELECT chr, is_start, count(*) AS n, min(pos) AS low, max(pos) AS high FROM sites GROUP BY ALL")
 def f13_insertions(spark, d):
     return fragments.insertions(a.frags(spark, d)).groupBy("chr", "is_start").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"))
 
 
-@query(f"""{views("frags")} SELECT frag_id, chr, start, "end", CASE WHEN cell_id IN (SELECT cell_id FROM frags WHERE chr = 'chr1' INTERSECT SELECT cell_id FROM frags WHERE chr = 'chr2')
- THEN CASE chr WHEN 'chr1' THEN '1_' ELSE '2_' END ELSE '' END || cell_id AS cell_id FROM frags WHERE chr IN ('chr1', 'chr2')""")
+@query(f"""{views("frags")} SELECT frag_id, chr, start, "end", CASE WHEN cell_id IN (SELECT cell_id FROM frags WHERE chr = 'chr1' INTERSECT SELECT cell_id FROM frags WHERE chr <> 'chr1')
+ THEN CASE chr WHEN 'chr1' THEN '1_' ELSE '2_' END ELSE '' END || cell_id AS cell_id FROM frags""")
 def u1_merge_fragments(spark, d):
     f = a.frags(spark, d)
-    return fragments.merge_fragments([f.where("chr = 'chr1'"), f.where("chr = 'chr2'")])
+    return fragments.merge_fragments([f.where("chr = 'chr1'"), f.where("chr <> 'chr1'")])
 
 
-@query(f"{views('frags')} SELECT DISTINCT cell_id FROM frags WHERE chr = 'chr1' INTERSECT SELECT cell_id FROM frags WHERE chr = 'chr2'")
+@query(f"{views('frags')} SELECT DISTINCT cell_id FROM frags WHERE chr = 'chr1' INTERSECT SELECT cell_id FROM frags WHERE chr <> 'chr1'")
 def u5_common_cells(spark, d):
     f = a.frags(spark, d)
-    return f.where("chr = 'chr1'").select("cell_id").intersect(f.where("chr = 'chr2'").select("cell_id"))
+    return f.where("chr = 'chr1'").select("cell_id").intersect(f.where("chr <> 'chr1'").select("cell_id"))
 
 
 @query(f"""{views("frags")} SELECT cell_id, count(*) FILTER (("end" - start) // 147 = 0) AS sub_nucleosomal, count(*) FILTER (("end" - start) // 147 = 1) AS mono_nucleosomal,
@@ -182,12 +203,7 @@ def g6_gene_region(spark, d):
  r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY lpad(c_custkey::VARCHAR, 9, '0')) AS n FROM f) SELECT c_custkey, CASE WHEN n = 1 THEN f ELSE f || '_' || n END AS file_name FROM r""")
 def g7_file_names(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("a b/"), "c_mktsegment").alias("seg"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("k"))
-    from pyspark.sql.window import Window
-
-    clean = ranges.file_names(c.withColumn("name", F.col("seg")))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("k"))
-    base = F.regexp_replace("seg", "[^A-Za-z0-9._-]", "_")
-    return clean.withColumn("base", base).select("c_custkey", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("_", "base", n.cast("string"))).alias("file_name"))
+    return ranges.file_names(c, "seg", "k").select("c_custkey", "file_name")
 
 
 @query(f"""{views("genes")} SELECT gene_id, row_number() OVER (ORDER BY list_position(['chr3', 'chr1', 'chr2'], chr), "end", start)::BIGINT AS ord FROM genes WHERE chr IN ('chr1', 'chr2', 'chr3')""")
@@ -382,7 +398,7 @@ def s16_genes_of_type(spark, d):
 
 @query("SELECT chr, 0 AS start, chr_size::INT AS \"end\" FROM chrom_sizes WHERE regexp_full_match(chr, 'chr[0-9]+|chrX|chrY')")
 def s20_chrom_sizes(spark, d):
-    return a.chrom_sizes(spark, d).where(F.col("chr").rlike("^(chr[0-9]+|chrX|chrY)$")).select("chr", F.lit(0).alias("start"), F.col("chr_size").alias("end"))
+    return whole_chromosomes(a.chrom_sizes(spark, d))
 
 
 # -- matrices -------------------------------------------------------------------------------------
@@ -499,15 +515,96 @@ def m15_value_histogram(spark, d):
     return matrix.value_histogram(a.counts(spark, d), 80)
 
 
-@query("SELECT true AS identical")
+@query(_PAIRS.format(v=views("m"), name="m", cols="r, c, v", other="r, c, v"))
 def m16_identical(spark, d):
     m = a.counts(spark, d)
     return matrix.same(m, m.t.t)
 
 
-@query()
+@query(_PAIRS.format(v=views("m"), name="m", cols="r, c, v", other="r, c, least(v, 40)"))
+def m16_unequal(spark, d):
+    m = a.counts(spark, d)
+    return matrix.same(m, m.min_scalar(40))
+
+
+_MD5 = """{v}, l AS (SELECT 0 AS part, {by} AS idx, md5(string_agg({other} || ':' || v::VARCHAR, ',' ORDER BY {other})) AS d FROM m GROUP BY {by}
+ UNION ALL SELECT 1, p_partkey, md5(p_name) FROM part UNION ALL SELECT 2, s_suppkey, md5(s_name) FROM supplier),
+b AS (SELECT part, idx // 1024 AS b, md5(string_agg(idx || '=' || d, ';' ORDER BY idx)) AS d FROM l GROUP BY ALL)
+SELECT md5('{order}|' || nr || '|' || nc || '|' || (SELECT string_agg(d, ';' ORDER BY part, b) FROM b)) AS md5 FROM dims"""
+
+
+def _md5(spark, d, by):
+    rows, cols = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("name")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_name").alias("name"))
+    return matrix.checksum(a.counts(spark, d), by, rows, cols)
+
+
+@query(_MD5.format(v=views("m", "dims"), by="c", other="r", order="col"))
 def a24_checksum(spark, d):
-    return matrix.checksum(a.counts(spark, d))
+    return _md5(spark, d, "col")
+
+
+@query(_MD5.format(v=views("m", "dims"), by="r", other="c", order="row"))
+def a24_checksum_by_row(spark, d):
+    return _md5(spark, d, "row")
+
+
+@query(f"{views('m')} SELECT r AS row, c AS col, CASE WHEN r IN (1, 3, 5) AND c IN (2, 4) THEN 9.0 ELSE v + 1 END AS val FROM m UNION ALL SELECT r, c, 9.0 FROM (VALUES (1), (3), (5)) a(r), (VALUES (2), (4)) b(c) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.r = a.r AND m.c = b.c)")
+def m3_assign_with_shift(spark, d):
+    """A constant block in a matrix with a dense term: its stored elements and the block."""
+    nine = matrix.SparseMatrix(spark.createDataFrame([], "row bigint, col bigint, val double"), 3, 2).add(9)
+    m = a.counts(spark, d)
+    out = m.add(1).assign([1, 3, 5], [2, 4], nine)
+    block = F.col("row").isin(1, 3, 5) & F.col("col").isin(2, 4)
+    cells = m.entries.select("row", "col").union(m.entries.sparkSession.createDataFrame([(r, c) for r in (1, 3, 5) for c in (2, 4)], "row bigint, col bigint")).distinct()
+    at = cells.join(out.entries, ["row", "col"], "left")
+    return at.select("row", "col", F.when(block, F.coalesce("val", F.lit(0.0)) + out.shift).otherwise(F.col("val") + out.shift).alias("val"))
+
+
+@query(f"{views('m', 'rv', 'cv')} SELECT r AS row, c AS col, v + x + 1 AS val FROM m JOIN rv USING (r) WHERE v > 40")
+def m7_mask_with_shift(spark, d):
+    """What is left where another matrix isn't zero, of a matrix with dense terms."""
+    m = a.counts(spark, d)
+    return _entries(m.add_by("row", a.row_vector(spark, d)).add(1).mask(m > 40, invert=True))
+
+
+@query(f"{views('m', 'rv')} SELECT r AS row, c AS col, round(v / 4 / (x + 1), 9) AS val FROM m JOIN rv USING (r)")
+def t13_divide(spark, d):
+    v = a.row_vector(spark, d).withColumn("v", F.col("v") + 1)
+    return (a.counts(spark, d) / 4).divide_by("row", v).entries.select("row", "col", F.round("val", 9).alias("val"))
+
+
+@query(f"{views('m')} SELECT r AS row, c AS col, 2 * v + 1 AS val FROM m")
+def m11_replaced_input(spark, d):
+    m = a.counts(spark, d)
+    plan = matrix.MatrixPlan((m,), lambda x: x.scale(2)).with_inputs(m.scale(3))
+    back = plan.with_inputs(*[x.scale(1 / 3) for x in plan.inputs]).result()
+    return back.entries.select("row", "col", (F.round("val", 6) + 1).alias("val"))
+
+
+@query(f"""{views('m', 'dims')}, s AS (SELECT r, sum(v) / nc AS mean, (sum(v * v) - sum(v) ** 2 / nc) / (nc - 1) AS var FROM m, dims GROUP BY r, nc)
+SELECT r AS row FROM s ORDER BY round(var, 6) DESC, r LIMIT 50""")
+def o2_top_features(spark, d):
+    return stats.top_features(a.counts(spark, d), 50).select("row")
+
+
+@query("SELECT round(sqrt(count(*)), 6) AS d, 1.0::DOUBLE AS u_norm FROM orders GROUP BY o_orderpriority")
+def l1_group_values(spark, d):
+    """Singular values of an indicator matrix are the roots of the group sizes."""
+    return _indicator_values(spark, d, linalg.GRAM_SIDE)
+
+
+@query("SELECT round(sqrt(count(*)), 6) AS d, 1.0::DOUBLE AS u_norm FROM orders GROUP BY o_orderpriority")
+def l1_group_values_iterated(spark, d):
+    """The same by passes over the rows."""
+    return _indicator_values(spark, d, 0)
+
+
+def _indicator_values(spark, d, gram_side):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row"), (F.substring("o_orderpriority", 1, 1).cast("bigint") - 1).alias("col"), F.lit(1.0).alias("val"))
+    u, s, v = linalg.svds(matrix.SparseMatrix(o, table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] + 1, 5), 5, gram_side)
+    norms = u.select(F.posexplode("vector").alias("k", "x")).groupBy("k").agg(F.round(F.sum(F.col("x") * F.col("x")), 6).alias("u_norm"))
+    values = spark.createDataFrame([(k, float(x)) for k, x in enumerate(s)], "k int, d double")
+    return norms.join(values, "k").select(F.round("d", 6).alias("d"), "u_norm")
 
 
 @query(f"{views('mg')} SELECT c AS row, list_position(['g0', 'g1', 'g2', 'g3', 'g4'], cell_group)::BIGINT - 1 AS col, 1.0::DOUBLE AS val FROM mg")
@@ -796,3 +893,23 @@ def plot_loop_arcs(spark, d):
 def stream_tile_counts(spark, d):
     """The streaming aggregation applied to the whole table at once."""
     return stream_tiles.tile_counts(a.frags(spark, d), 100_000)
+
+
+def _transcripts(spark, d, choice):
+    g = valid_records(load_records(table(spark, d, "gtf"), "gtf"))
+    return transcripts(g, choice, ".*").select("chr", "feature", "start", "end", "gene_id", "transcript_id")
+
+
+@query()
+def s17_transcripts(spark, d):
+    return _transcripts(spark, d, "all")
+
+
+@query(f"""{views('m', 'dims')}, x0 AS (SELECT c, r, v FROM m WHERE r IN (0, 3)), k AS (SELECT range AS k FROM range(0, 5)),
+x1 AS (SELECT (c - k + nc) % nc AS c, r, sum(v / 5) AS v FROM x0, k, dims GROUP BY ALL), x2 AS (SELECT (c - k + nc) % nc AS c, r, sum(v / 5) AS v FROM x1, k, dims GROUP BY ALL),
+x3 AS (SELECT (c - k + nc) % nc AS c, r, sum(v / 5) AS v FROM x2, k, dims GROUP BY ALL),
+f AS (SELECT g.c, t.r, coalesce(v, 0) * (SELECT sum(v) FROM x0 WHERE x0.r = t.r) / (SELECT sum(v) FROM x3 WHERE x3.r = t.r) AS v FROM (SELECT range AS c FROM dims, range(0, nc)) g CROSS JOIN (VALUES (0), (3)) t(r) LEFT JOIN x3 ON x3.c = g.c AND x3.r = t.r),
+q AS (SELECT r, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM f GROUP BY r)
+SELECT c AS col, f.r::BIGINT AS row, round(least(greatest(v, lo), hi), 7) AS value FROM f JOIN q ON f.r = q.r""")
+def l11_smoothed_values(spark, d):
+    return l11_smoothed_features(spark, d).withColumn("value", F.round("value", 7))

@@ -7,12 +7,13 @@ unless they are loaded by ``raw_records``.
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.matrix import SparseMatrix
+from ..operators.ranges import checked_broadcast
 
 
 def read_fragments_tsv(spark: SparkSession, path: str, end_inclusive: bool = True, comment: str = "#") -> DataFrame:
@@ -41,11 +42,15 @@ def replace_fragments(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     write_fragments(df, f"{path}.new", overwrite=True)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    fs = old.getFileSystem(conf)
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", ".new", ".old"))
+    fs = at.getFileSystem(conf)
     fs.delete(old, True)
-    if not fs.rename(new, old):
+    # at every moment one whole copy is there, under one of the three names
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"could not rename {path}")
+    if not fs.rename(new, at):
         raise OSError(f"could not rename {path}.new")
+    fs.delete(old, True)
 
 
 def import_fragments(spark: SparkSession, path: str, out: str, shift_start: int = 0, shift_end: int = 0, keep_cells: DataFrame | None = None) -> None:
@@ -68,8 +73,12 @@ def read_bed(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
 
 def read_chrom_sizes(spark: SparkSession, path: str, keep: str = "chr[0-9]+|chrX|chrY") -> DataFrame:
     """``chr, start, end`` of chromosomes whose whole name matches ``keep``."""
-    df = spark.read.csv(path, sep="\t", schema="chr string, end int")
-    return df.where(F.col("chr").rlike(f"^({keep})$")).select("chr", F.lit(0).alias("start"), "end")
+    return whole_chromosomes(spark.read.csv(path, sep="\t", schema="chr string, chr_size int"), keep)
+
+
+def whole_chromosomes(sizes: DataFrame, keep: str = "chr[0-9]+|chrX|chrY") -> DataFrame:
+    """``chr, start, end`` from ``chr, chr_size``."""
+    return sizes.where(F.col("chr").rlike(f"^({keep})$")).select("chr", F.lit(0).alias("start"), F.col("chr_size").alias("end"))
 
 
 def attribute(column: Column, name: str) -> Column:
@@ -94,6 +103,22 @@ def read_gtf(spark: SparkSession, path: str, **kw) -> DataFrame:
     return gtf_features(spark.read.csv(path, sep="\t", comment="#", schema=schema, quote="\0"), **kw)
 
 
+def transcripts(records: DataFrame, choice: str = "MANE_Select", gene_type: str = "lncRNA|protein_coding|IG_.*_gene|TR_.*_gene", features: tuple[str, ...] = ("transcript", "exon")) -> DataFrame:
+    """Transcripts and exons with their gene and transcript ids; ``choice`` is the tag of the
+    representative ones (``MANE_Select`` or ``Ensembl_Canonical``), or ``all``."""
+    if choice not in ("MANE_Select", "Ensembl_Canonical", "all"):
+        raise ValueError("the choice must be MANE_Select, Ensembl_Canonical or all")
+    tags = () if choice == "all" else (choice,)
+    out = gtf_features(records, features, ("gene_id", "gene_type", "gene_name", "transcript_id"), tags, gene_type)
+    return out if choice == "all" else out.where(F.col(choice))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, as the executors' file system sees it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_narrow_peaks(spark: SparkSession, path: str, group: str) -> DataFrame:
     schema = "chr string, start int, end int, name string, score int, strand string, signal double, p_val double, q_val double, summit int"
     return spark.read.csv(path, sep="\t", schema=schema).withColumn("cell_group", F.lit(group))
@@ -118,18 +143,18 @@ def read_matrix_market(spark: SparkSession, path: str) -> SparseMatrix:
 def read_matrix_10x(spark: SparkSession, folder: str, feature_type: str | None = None) -> tuple[SparseMatrix, DataFrame, DataFrame]:
     """The matrix, its features (``row, feature_id, name, feature_type``) and barcodes (``col,
     barcode``); with a feature type only rows of it, renumbered."""
-    m = read_matrix_market(spark, f"{folder}/matrix.mtx.gz" if Path(f"{folder}/matrix.mtx.gz").exists() else f"{folder}/matrix.mtx")
+    m = read_matrix_market(spark, f"{folder}/matrix.mtx.gz" if _exists(spark, f"{folder}/matrix.mtx.gz") else f"{folder}/matrix.mtx")
     f = _numbered(spark, folder, "features.tsv").select(F.col("at").alias("row"), *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("feature_id", "name", "feature_type"))])
     b = _numbered(spark, folder, "barcodes.tsv").select(F.col("at").alias("col"), F.col("value").alias("barcode"))
     if feature_type is not None:
-        keep = [r[0] for r in f.where(F.col("feature_type") == feature_type).orderBy("row").select("row").collect()]
-        place = {k: at for at, k in enumerate(keep)}
-        m, f = m.select(rows=keep), spark.createDataFrame([(place[r[0]], *r[1:]) for r in f.collect() if r[0] in place], f.schema)
+        kept = f.where(F.col("feature_type") == feature_type).withColumn("new", F.row_number().over(Window.orderBy("row")) - 1)  # one row a feature
+        e = m.entries.join(checked_broadcast(kept.select("row", "new")), "row").select(F.col("new").cast("bigint").alias("row"), "col", "val")
+        m, f = SparseMatrix(e, kept.count(), m.ncol), kept.withColumn("row", F.col("new").cast("bigint")).drop("new")
     return m, f, b
 
 
 def _numbered(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    path = f"{folder}/{name}.gz" if Path(f"{folder}/{name}.gz").exists() else f"{folder}/{name}"
+    path = f"{folder}/{name}.gz" if _exists(spark, f"{folder}/{name}.gz") else f"{folder}/{name}"
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "(\r?\n)+$", ""), "\r?\n")).alias("at", "value"))
     return lines.select(F.col("at").cast("bigint").alias("at"), "value", F.split("value", "\t").alias("p"))
 
