@@ -10,8 +10,9 @@
    ``n_words`` matches are returned.
 3. Proximity matches: ``slop`` words may be missing, added or changed between successive matches,
    on either side, so any term may be lost and the offset may change.  Every three successive
-   matches are three terms with at most ``slop`` words between two; all such triples of the
-   documents are joined with those of the items, and the longest chains of matches are returned.
+   matches are three terms with at most ``slop`` words between two; all such triples of the stored
+   postings are met with those of the items (sent to the tasks up to LOOKUPS words, else joined),
+   triples outside of chains of ``n_words`` matches are dropped, and the longest chains returned.
    The chains of a document and an item have no match in common.
 
 Defined cases: null, empty and blank texts match nothing, nor do items of fewer than ``n_words``
@@ -24,7 +25,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +42,8 @@ VOCABULARY = 500_000
 LOOKUPS = 200_000
 #: Postings and places of a document meet in bins of so many positions.
 BIN = 256
+#: Postings held at once, about (whole documents), and matched with the items' triples at once.
+SCANNED, SLICE = 50_000, 5_000
 
 
 def _post(vocabulary, n_words: int, slop: int):
@@ -141,6 +146,123 @@ def _chain(n_words: int, slop: int):
     return run
 
 
+class _Grams:
+    """All triples of terms of the items with at most ``slop`` words between two, by their code."""
+
+    def __init__(self, words: list[tuple], slop: int):
+        """``words``: (row of an item, item, position, term), any order."""
+        words = sorted(words, key=lambda w: (w[0], w[2]))
+        self.terms = sorted({w[3] for w in words})
+        number = {w: k for k, w in enumerate(self.terms)}
+        self.items = [w[1] for w in words]
+        self.row = np.array([w[0] for w in words], np.int64)
+        self.pos = np.array([w[2] for w in words], np.int64)
+        term = np.array([number[w[3]] for w in words], np.int64)
+        codes, at = _codes(self.row, self.pos, term, len(self.terms), slop)
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.at = codes[order], at[:, order]
+
+
+def _codes(row: np.ndarray, pos: np.ndarray, term: np.ndarray, n_terms: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each triple of terms, exact as there are few terms, and the places of the three."""
+    n = len(row)
+    codes, places = [], []
+    near = {}
+    for a in range(1, slop + 2):
+        near[a] = np.zeros(n, bool)
+        if a < n:
+            near[a][:-a] = (row[a:] == row[:-a]) & (pos[a:] - pos[:-a] <= slop + 1)
+    for a in near:
+        for b in near:
+            k = np.flatnonzero(near[a])
+            k = k[near[b][k + a]]
+            codes.append((term[k] * n_terms + term[k + a]) * n_terms + term[k + a + b])
+            places.append(np.stack([k, k + a, k + a + b]))
+    return (np.concatenate(codes), np.concatenate(places, axis=1)) if codes else (np.empty(0, np.int64), np.empty((3, 0), np.int64))
+
+
+def _in_chains(start: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
+    """Which links ``start -> end`` lie on a path of at least ``least`` links; without cycles."""
+    alive = np.arange(len(start))
+    ahead, back = np.ones(len(start), np.int64), np.ones(len(start), np.int64)
+    for turn in range(1, least):
+        s, e = start[alive], end[alive]
+        keys, at = np.unique(np.concatenate([s, e]), return_inverse=True)
+        s, e = at[: len(s)], at[len(s) :]
+        best_ahead, best_back = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        np.maximum.at(best_ahead, s, ahead)
+        np.maximum.at(best_back, e, back)
+        ahead, back = best_ahead[e] + 1, best_back[s] + 1
+        # a length below turn + 1 is final
+        keep = (ahead > turn) | (back > turn) | (ahead + back - 1 >= least)
+        alive, ahead, back = alive[keep], ahead[keep], back[keep]
+        if not len(alive):
+            return alive
+    return alive[ahead + back - 1 >= least]
+
+
+def _scan(shared, n_words: int, slop: int):
+    """Chains of stored postings, which stand document by document, with the items' triples."""
+
+    def found(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        g = shared.value
+        part = pa.Table.from_batches(rows).combine_chunks()
+        row, pos = part.column("rid").to_numpy(), part.column("pos").to_numpy().astype(np.int64)
+        term = pc.index_in(part.column("term"), value_set=pa.array(g.terms, pa.string())).to_numpy().astype(np.int64)
+        width, alive = len(g.items), []
+        pair = lambda p, q: p * 64 + (q // width - p // width) * 8 + (q % width - p % width)
+        margin = n_words * (slop + 1)  # no chain of n_words reaches further
+        for a in range(0, len(row), SLICE):
+            first, to = max(0, a - margin), a + SLICE + margin
+            codes, at = _codes(row[first:to], pos[first:to], term[first:to], len(g.terms), slop)
+            low = np.searchsorted(g.codes, codes, side="left")
+            n = np.searchsorted(g.codes, codes, side="right") - low
+            k = np.repeat(np.arange(len(codes)), n)
+            j = np.repeat(low, n) + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+            points = (at[:, k] + first) * width + g.at[:, j]  # a place in the documents and one in the items
+            some = _in_chains(pair(points[0], points[1]), pair(points[1], points[2]), n_words - 2)
+            alive.append(np.unique(points[:, some]))
+        every = np.unique(np.concatenate(alive))
+        if not len(every):
+            return None
+        d, i = every // width, every % width
+        order = np.lexsort((g.row[i], row[d]))
+        d, i = d[order], i[order]
+        cut = np.flatnonzero((row[d][1:] != row[d][:-1]) | (g.row[i][1:] != g.row[i][:-1])) + 1
+        at_row, out = [], []
+        for dd, ii in zip(np.split(d, cut), np.split(i, cut)):
+            for c in _longest_chains(set(zip(pos[dd].tolist(), g.pos[ii].tolist())), n_words, slop):
+                at_row.append(int(dd[0]))
+                out.append((g.items[ii[0]], *c))
+        if not out:
+            return None
+        docs = part.column("doc").take(pa.array(at_row)).combine_chunks()
+        return pa.RecordBatch.from_arrays([docs, pa.array([x[0] for x in out]), *(pa.array([x[k] for x in out], pa.int32()) for k in (1, 2, 3))], names=["doc", "item", "doc_pos", "item_pos", "n_matched"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rid = batch.column("rid").to_numpy()
+            other = np.flatnonzero(rid != rid[-1])
+            last = int(other[-1]) + 1 if len(other) else 0  # where the last document begins
+            if size + last > SCANNED:
+                ended = not last and held and held[-1].column("rid")[-1].as_py() != rid[0]
+                if last or ended:
+                    out = found([*held, batch.slice(0, last)])
+                    if out is not None:
+                        yield out
+                    held, size, batch = [], 0, batch.slice(last)
+            held.append(batch)
+            size += batch.num_rows
+        if held and (out := found(held)) is not None:
+            yield out
+
+    return run
+
+
 def _chained(postings: DataFrame, item_words: DataFrame, n_words: int, slop: int) -> DataFrame:
     """``doc, item, doc_pos, item_pos, n_matched`` of proximity matches."""
     q = min(3, n_words)
@@ -170,6 +292,13 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     if vocabulary is None:
         postings = postings.join(terms, "term", "left_semi")
     postings = cut_lineage(postings.select("doc", "rid", "pos", "term"))
+    kinds = {c: t for c, t in [*postings.dtypes, *item_words.dtypes]}
+    if slop > 0 and vocabulary is not None and n_words > 2 and slop < 7 and item_words.limit(LOOKUPS + 1).count() <= LOOKUPS:
+        # the items' triples are sent to the tasks; documents meet them without a shuffle
+        grams = spark.sparkContext.broadcast(_Grams([tuple(r) for r in item_words.select("iid", "item", "ipos", "term").collect()], slop))
+        schema = f"doc {kinds['doc']}, item {kinds['item']}, doc_pos int, item_pos int, n_matched int"
+        found = postings.mapInArrow(_scan(grams, n_words, slop), schema)
+        return found.select(F.col("doc").alias(doc_col), F.col("item").alias(item_col), "doc_pos", "item_pos", "n_matched").distinct()
     if slop > 0:
         return _chained(postings, item_words, n_words, slop).select(F.col("doc").alias(doc_col), F.col("item").alias(item_col), "doc_pos", "item_pos", "n_matched").distinct()
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
