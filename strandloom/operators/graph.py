@@ -64,6 +64,57 @@ def exact_neighbours(points: DataFrame, k: int = 10, metric: str = "euclidean",
     return out.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k).select("i", "nn_rank", "idx", "dist")
 
 
+def approximate_neighbours(points: DataFrame, k: int = 10, metric: str = "euclidean", lists: int | None = None, probes: int = 8, sample_rows: int = 20_000, seed: int = 3) -> DataFrame:
+    """``i, nn_rank, idx, dist`` like ``exact_neighbours`` for every point, from inverted lists.
+
+    Centres are fit by a few rounds of k-means on at most ``sample_rows`` points; each point is in
+    the list of its nearest centre and is compared with the points of the ``probes`` nearest lists.
+    By default a list holds about 1,000 points as long as the sample has 16 points a centre."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {sorted(METRICS)}")
+    spark = points.sparkSession
+    p = points.where("id is not null and vec is not null").select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    n = p.count()
+    if not n:
+        return spark.createDataFrame([], "i bigint, nn_rank int, idx bigint, dist double")
+    sample = np.array(p.select("vec").sample(min(1.0, 1.2 * sample_rows / n), seed=seed).limit(sample_rows).toArrow().column("vec").to_pylist() or p.select("vec").limit(1).toArrow().column("vec").to_pylist(), float)
+    count = max(1, min(lists or round(n / 1000), len(sample) // 16 or 1))
+    centres = sample[np.random.default_rng(seed).choice(len(sample), count, replace=False)]
+    for _ in range(8 if count > 1 else 0):
+        near = np.concatenate([METRICS[metric](sample[a : a + 2000], centres).argmin(axis=1) for a in range(0, len(sample), 2000)])
+        size = np.bincount(near, minlength=count)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, sample)
+        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+    shared, probes = spark.sparkContext.broadcast(centres), min(probes, count)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                d = METRICS[metric](np.array(part.column("vec").to_pylist(), float), shared.value)
+                to = np.argsort(d, axis=1, kind="stable")[:, :probes]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), probes))
+                yield pa.RecordBatch.from_arrays([pa.array(to.ravel().astype(np.int32)), pa.array((np.arange(to.size) % probes == 0)), part.column("id").take(rows), part.column("vec").take(rows)], names=["list", "own", "id", "vec"])
+
+    def rank(group: pa.Table) -> pa.Table:
+        ids, x, own = group.column("id").to_numpy(), np.array(group.column("vec").to_pylist(), float), group.column("own").to_numpy()
+        p_ids, held, out = ids[own], x[own], []
+        for a in range(0, len(ids), 512):
+            if not len(p_ids):
+                break
+            d = METRICS[metric](x[a : a + 512], held)
+            d[ids[a : a + 512, None] == p_ids[None]] = 0
+            order = np.lexsort((np.broadcast_to(p_ids, d.shape), d), axis=1)[:, :k]
+            out.append((np.repeat(ids[a : a + 512], order.shape[1]), p_ids[order].ravel(), np.take_along_axis(d, order, 1).ravel()))
+        i, j, d = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"i": i, "idx": j, "dist": d})
+
+    found = p.mapInArrow(route, "list int, own boolean, id bigint, vec array<double>").groupBy("list").applyInArrow(rank, "i bigint, idx bigint, dist double")
+    w = Window.partitionBy("i").orderBy("dist", (F.col("idx") != F.col("i")), "idx")
+    return found.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k).select("i", "nn_rank", "idx", "dist")
+
+
 def knn_to_graph(knn: DataFrame, use_weights: bool = False, self_loops: bool = True) -> DataFrame:
     """``i, j, weight``: a directed edge to each neighbour."""
     g = knn.where("i is not null and idx is not null").select("i", F.col("idx").alias("j"), (F.col("dist") if use_weights else F.lit(1.0)).alias("weight"))

@@ -913,3 +913,14 @@ q AS (SELECT r, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM
 SELECT c AS col, f.r::BIGINT AS row, round(least(greatest(v, lo), hi), 7) AS value FROM f JOIN q ON f.r = q.r""")
 def l11_smoothed_values(spark, d):
     return l11_smoothed_features(spark, d).withColumn("value", F.round("value", 7))
+
+
+@query(SQL["l2_knn_euclidean"])
+def l2_knn_lists(spark, d):
+    """Inverted lists with all of them probed: exact."""
+    return graph.approximate_neighbours(_embeddings(spark, d), lists=4, probes=4).withColumn("dist", F.round("dist", 5))
+
+
+@query(f"WITH {_KNN.format(m='list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda x: abs(x[1] - x[2])))')} SELECT i, nn_rank::INT AS nn_rank, idx, round(dist, 5) AS dist FROM k WHERE nn_rank <= 10")
+def l2_knn_manhattan(spark, d):
+    return graph.exact_neighbours(_embeddings(spark, d), metric="manhattan").withColumn("dist", F.round("dist", 5))

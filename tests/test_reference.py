@@ -307,3 +307,77 @@ def test_free_lanes(spark):
     rows = [(1, "c", 0, 3), (2, "c", 1, 10), (3, "c", 4, 8), (4, "c", 5, 6), (5, "c", 10, 12), (6, "d", 2, 4), (7, "d", 2, 4)]
     df = spark.createDataFrame(rows, "id long, chr string, start int, end int").repartition(3)
     assert dict(free_lanes(df, "id").collect()) == {1: 1, 2: 2, 3: 1, 4: 3, 5: 1, 6: 1, 7: 2}
+
+
+def _dense(m, nrow, ncol):
+    out = np.zeros((nrow, ncol))
+    for r in m.densify().collect():
+        out[r.row, r.col] = r.val
+    return out
+
+
+def test_assign_and_mask_with_all_dense_terms(spark):
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((5, 4)) < 0.5, rng.integers(1, 9, (5, 4)), 0).astype(float)
+    y = np.where(rng.random((2, 2)) < 0.5, 3.0, 0)
+    mask = np.where(rng.random((5, 4)) < 0.4, 1.0, 0)
+    m, v, k = (SparseMatrix.of(spark.createDataFrame([(int(r), int(c), float(a[r, c])) for r, c in np.argwhere(a >= 0)], "row long, col long, val double"), *a.shape) for a in (x, y, mask))
+    rows, cols = spark.createDataFrame([(1, 2.0), (3, -1.0)], "idx long, v double"), spark.createDataFrame([(0, 5.0), (2, 1.0)], "idx long, v double")
+    moved, dense_moved = m.add_by("row", rows).add_by("col", cols).add(0.5), x + np.array([[0], [2], [0], [-1], [0]]) + np.array([[5, 0, 1, 0]]) + 0.5
+    for a, da in ((m, x), (moved, dense_moved)):
+        for b, db in ((v, y), (v.add(4), y + 4)):
+            want = da.copy()
+            want[np.ix_([1, 4], [0, 3])] = db
+            assert np.allclose(_dense(a.assign([1, 4], [0, 3], b), 5, 4), want)
+        assert np.allclose(_dense(a.mask(k), 5, 4), np.where(mask != 0, 0, da))
+        assert np.allclose(_dense(a.mask(k, invert=True), 5, 4), np.where(mask != 0, da, 0))
+    with pytest.raises(Exception, match="positive"):
+        m.min_by("row", rows).entries.collect()
+    with pytest.raises(ValueError):
+        1 / m
+
+
+def test_iterated_factorisation_and_regression(spark):
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random((80, 40)) < 0.3, rng.poisson(3, (80, 40)), 0).astype(float)
+    m = SparseMatrix.of(spark.createDataFrame([(int(r), int(c), float(x[r, c])) for r, c in np.argwhere(x)], "row long, col long, val double"), 80, 40)
+    u, d, v = np.linalg.svd(x, full_matrices=False)
+    for side in (linalg.GRAM_SIDE, 0):
+        left, values, right = linalg.svds(m, 4, side)
+        assert np.allclose(values, d[:4], rtol=1e-8)
+        lu, rv = (np.array([r.vector for r in t.orderBy("idx").collect()]) for t in (left, right))
+        assert np.allclose(lu * values @ rv.T, u[:, :4] * d[:4] @ v[:4], atol=1e-5)
+    design = rng.normal(size=(40, 2))
+    got = linalg.regress_out(m, spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(design)], "idx long, a double, b double"))
+    full = np.column_stack([np.ones(40), design])
+    want = x - x @ full @ np.linalg.inv(full.T @ full) @ full.T
+    for r in got.collect():
+        assert abs(r.val - want[r.row, r.col]) < 1e-8
+
+
+def test_lists_find_nearly_all_neighbours(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(15, 8)) * 3
+    x = centres[rng.integers(0, 15, 1500)] + rng.normal(size=(1500, 8))
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, vec array<double>")
+    got = {}
+    for r in graph.approximate_neighbours(df, 10, lists=30, probes=6).collect():
+        got.setdefault(r.i, []).append(r.idx)
+    hits = sum(len(set(np.argsort(((x - x[k]) ** 2).sum(axis=1))[:10]) & set(got[k])) for k in range(0, 1500, 10))
+    assert len(got) == 1500 and all(v[0] == k for k, v in got.items()) and hits > 0.9 * 1500
+    assert graph.approximate_neighbours(df.limit(0)).count() == 0
+
+
+def test_selection_by_index_and_argument_checks(spark):
+    assert fragments.picked(["a", "b", "c"], [True, False, True]) == ["a", "c"] and fragments.picked(["a", "b", "c"], [-1, 0]) == ["c", "a"]
+    for wrong in ([0, -3], [3], [True]):
+        with pytest.raises(ValueError):
+            fragments.picked(["a", "b", "c"], wrong)
+    df = spark.createDataFrame([("chr1", 1, 2)], "chr string, start int, end int")
+    assert ranges.require_ranges(df) is df
+    with pytest.raises(ValueError, match="strand"):
+        ranges.require_ranges(df, "strand")
+    with pytest.raises(TypeError):
+        ranges.require_ranges(df.withColumn("end", F.lit("x")))
+    mean = 1e6
+    assert abs(poisson_quantile_value(0.99, mean) - (mean + 2.3263 * 1000)) < 5 and poisson_quantile_value(0.99, 746.0) == 810
