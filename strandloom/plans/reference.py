@@ -13,6 +13,7 @@ from ..sources.files import gtf_features, transcripts, whole_chromosomes
 from ..sources.raw_records import load_records, valid_records
 from ..streaming import tiles as stream_tiles
 from . import adapters as a
+from . import records
 from .adapters import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -848,11 +849,16 @@ def a21_tss_scatter(spark, d):
     return plotdata.tss_scatter(qc, 20, 0.5)
 
 
-@query()
+@query(f"""{views('frags', 'cg', 'genes', 'sites')}, c AS (SELECT chr, strand, CASE WHEN strand THEN start ELSE "end" - 1 END AS centre FROM genes),
+h AS (SELECT cell_group, CASE WHEN strand THEN pos - centre ELSE centre - pos END AS position, count(*)::DOUBLE AS n FROM sites s JOIN cg USING (cell_id) JOIN c ON s.chr = c.chr AND pos >= centre - 2000 AND pos <= centre + 2000 GROUP BY ALL),
+g AS (SELECT cell_group, range::INT AS position FROM (SELECT DISTINCT cell_group FROM cg), range(-2000, 2001)), f AS (SELECT g.*, coalesce(n, 0) AS n FROM g LEFT JOIN h USING (cell_group, position)),
+e AS (SELECT *, n / nullif(avg(n) FILTER (abs(position) > 1900) OVER (PARTITION BY cell_group), 0) AS enrichment FROM f)
+SELECT cell_group, position, n, round(enrichment, 8) AS enrichment, round(CASE WHEN count(*) OVER w = 11 THEN avg(enrichment) OVER w END, 8) AS smooth FROM e WINDOW w AS (PARTITION BY cell_group ORDER BY position ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)""")
 def a22_tss_profile(spark, d):
     cells = a.cell_groups(spark, d).withColumn("weight", F.lit(1.0))
     f = overlap.footprint(a.frags(spark, d), a.genes(spark, d), cells, flank=2000, normalization_width=100)
-    return stats.rolling_mean(f, ["cell_group"], "position", "enrichment", 11, "smooth")
+    out = stats.rolling_mean(f, ["cell_group"], "position", "enrichment", 11, "smooth")
+    return out.withColumns({"enrichment": F.round("enrichment", 8), "smooth": F.round("smooth", 8)})
 
 
 @query()
@@ -900,11 +906,24 @@ def _transcripts(spark, d, choice):
     return transcripts(g, choice, ".*").select("chr", "feature", "start", "end", "gene_id", "transcript_id")
 
 
-@query()
+def _attribute(name):
+    return f"""nullif(regexp_extract(attributes, '(?:^|; ?){name} "([^"]*)"', 1), '')"""
+
+
+_TRANSCRIPTS = f"""SELECT chr, feature, (start - 1)::INT AS start, "end", {_attribute("gene_id")} AS gene_id, {_attribute("transcript_id")} AS transcript_id
+ FROM ({records.SQL["p1_gtf_records"]}) WHERE feature IN ('transcript', 'exon') AND {_attribute("gene_type")} IS NOT NULL"""
+
+
+@query(_TRANSCRIPTS)
 def s17_transcripts(spark, d):
     return _transcripts(spark, d, "all")
 
 
+@query(f"{_TRANSCRIPTS} AND contains(attributes, 'tag \"Ensembl_Canonical\"')")
+def s17_canonical_transcripts(spark, d):
+    return _transcripts(spark, d, "Ensembl_Canonical")
+
+
 @query(f"""{views('m', 'dims')}, x0 AS (SELECT c, r, v FROM m WHERE r IN (0, 3)), k AS (SELECT range AS k FROM range(0, 5)),
 x1 AS (SELECT (c - k + nc) % nc AS c, r, sum(v / 5) AS v FROM x0, k, dims GROUP BY ALL), x2 AS (SELECT (c - k + nc) % nc AS c, r, sum(v / 5) AS v FROM x1, k, dims GROUP BY ALL),
 x3 AS (SELECT (c - k + nc) % nc AS c, r, sum(v / 5) AS v FROM x2, k, dims GROUP BY ALL),
