@@ -325,9 +325,8 @@ def _round(blocks: Blocks | LocalBlock, level: int, active: int, after: int, min
 
 def _keyed(*pairs: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """Numbers for pairs, equal in all of them for equal pairs."""
-    both = np.empty(sum(len(p[0]) for p in pairs), [("r", np.int64), ("l", np.int16)])
-    both["r"], both["l"] = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-    numbers = np.unique(both, return_inverse=True)[1]
+    r, l = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    numbers = np.unique(np.unique(r, return_inverse=True)[1] * 32768 + l.astype(np.int64), return_inverse=True)[1]
     return np.split(numbers, np.cumsum([len(p[0]) for p in pairs])[:-1])
 
 
