@@ -187,3 +187,8 @@ def transpose_storage(m: SparseMatrix, path: str, by: str = "row") -> SparseMatr
 def write_grouped_bed(df: DataFrame, path: str) -> None:
     """Rows with a ``cell_group`` as sorted text files, one folder a group."""
     df.repartition("cell_group").sortWithinPartitions("cell_group", "chr", "start").write.mode("errorifexists").partitionBy("cell_group").csv(path, sep="\t")
+
+
+def write_bedgraph(df: DataFrame, path: str) -> None:
+    """``cell_group, chr, start, end, score`` as text files by group, scores with four digits."""
+    write_grouped_bed(df.select("cell_group", "chr", "start", "end", F.format_string("%.4f", F.col("score").cast("double")).alias("score")), path)

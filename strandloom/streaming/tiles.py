@@ -31,3 +31,8 @@ def windowed_counts(frags: DataFrame, window: str = "1 hour", late: str = "1 hou
 
 def start(df: DataFrame, name: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
     return df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
+
+
+def start_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Finished windows appended to Parquet files, each once also after a restart."""
+    return df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()

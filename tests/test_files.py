@@ -81,6 +81,12 @@ def test_stream_equals_table(spark, tmp_path):
     q.processAllAvailable()
     assert spark.table("windows").count() > 0
     q.stop()
+    q = tiles.start_files(tiles.windowed_counts(stream, "1 minute", "1 minute"), str(tmp_path / "out"), str(tmp_path / "state3"))
+    q.processAllAvailable()
+    q.stop()
+    whole = {(r.from_time, r.chr): r.n for r in tiles.windowed_counts(df, "1 minute", "1 minute").collect()}
+    done = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert done and all(0 < r.n <= whole[r.from_time, r.chr] for r in done)
 
 
 def test_grouped_output(spark, tmp_path):
@@ -88,4 +94,7 @@ def test_grouped_output(spark, tmp_path):
     files.write_grouped_bed(df, str(tmp_path / "bed"))
     assert sorted(p.name for p in (tmp_path / "bed").iterdir() if p.is_dir()) == ["cell_group=g1", "cell_group=g2"]
     assert np.sum([len(p.read_text().splitlines()) for p in (tmp_path / "bed").rglob("*.csv")]) == 3
+    files.write_bedgraph(df.withColumn("score", F.col("end") / 3), str(tmp_path / "graph"))
+    text = [line for p in (tmp_path / "graph" / "cell_group=g1").glob("*.csv") for line in p.read_text().splitlines()]
+    assert text == ["chr1\t0\t1\t0.3333", "chr1\t1\t2\t0.6667"]
     assert isinstance(SparseMatrix.of(df, 1, 1, "start", "end", "start"), SparseMatrix)
