@@ -34,8 +34,14 @@ def _bytes(field: T.StructField) -> Column:
 def checked_broadcast(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to have at most ``bound`` rows and
     BROADCAST_BYTES; else as it is, for a shuffled join."""
-    n, size = df.limit(bound + 1).agg(F.count(F.lit(1)), F.sum(reduce(Column.__add__, map(_bytes, df.schema.fields), F.lit(0).cast("bigint")))).first()
-    return F.broadcast(df) if n <= bound and (size or 0) <= BROADCAST_BYTES else df
+    n = df.limit(bound + 1).count()  # reads no column
+    if n > bound:
+        return df
+    wide = [f for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType))]
+    if wide:  # numbers are 8 bytes each, other values are measured
+        size = df.agg(F.sum(reduce(Column.__add__, map(_bytes, df.schema.fields), F.lit(0).cast("bigint")))).first()[0]
+        return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
+    return F.broadcast(df)
 
 
 def _level(start: Column, end: Column) -> Column:
