@@ -88,6 +88,21 @@ def test_nearest_and_extend(spark):
     assert [(r.chr, r.start, r.end) for r in ranges.normalize_ranges(texts).collect()] == [("chr1", 1000, 2000), (None, None, None), (None, None, None)]
 
 
+def test_nearest_of_piled_ranges(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice(["chr1", "chr2", None]), s := rng.choice([None, *range(40)]), None if s is None else s + rng.randint(0, 9), rng.random() < 0.5) for k in [*range(60), *range(6), None, None]]
+    df = spark.createDataFrame(rows, "gene_id int, chr string, start int, end int, strand boolean")
+    ok = [r for r in rows if None not in r[:4] and r[3] > r[2]]
+    holds = lambda y, x: y[0] != x[0] and y[1] == x[1] and y[2] <= x[2] and x[3] <= y[3] and (y[3] - y[2] > x[3] - x[2] or y[0] < x[0])
+    nested = {x[0] for x in ok if any(holds(y, x) for y in ok)}
+    got = ranges.distance_to_nearest(df, "gene_id").collect()
+    assert Counter(r.gene_id for r in got) == Counter([*nested, *(r[0] for r in rows if r[0] not in nested)])
+    assert all((r.upstream, r.downstream) == (0, 0) for r in got if r.gene_id in nested)
+    pile = spark.range(150_000).selectExpr("id as gene_id", "'chr1' as chr", "id as start", "id + 50000 as end", "true as strand")
+    out = ranges.distance_to_nearest(pile, "gene_id")  # billions of overlapping pairs
+    assert "Join" not in out._jdf.queryExecution().toString() and out.where("upstream = 0 or downstream = 0").count() == 150_000
+
+
 def test_footprint(spark):
     cells = spark.createDataFrame([(f"c{k}", f"grp{1 + k % 2}", w) for k, w in enumerate([1.0, 1.0, 2.0, 4.0])], "cell_id string, cell_group string, weight double")
     f = spark.createDataFrame([("chr1", 22, 28, "c0"), ("chr1", 24, 25, "c2"), ("chr2", 22, 26, "c1"), ("chr2", 23, 27, "c3")], FRAGS)
