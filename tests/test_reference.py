@@ -370,6 +370,27 @@ def test_iterated_factorisation_and_regression(spark):
         assert abs(r.val - want[r.row, r.col]) < 1e-8
 
 
+def test_regression_in_blocks_shuffles_no_dense_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((30, 50)) < 0.2, rng.poisson(3, (30, 50)), 0).astype(float)
+    x[4] = 0
+    m = SparseMatrix.of(spark.createDataFrame([(int(r), int(c), float(x[r, c])) for r, c in np.argwhere(x)], "row long, col long, val double"), 30, 50)
+    design = rng.normal(size=(50, 2))
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(design)], "idx long, a double, b double")
+    full = np.column_stack([np.ones(50), design])
+    want = x - x @ full @ np.linalg.inv(full.T @ full) @ full.T
+    for bound in (linalg.DESIGN, 30):
+        monkeypatch.setattr(linalg, "DESIGN", bound)
+        out = linalg.regress_out(m, df)
+        assert "CartesianProduct" not in (plan := out._jdf.queryExecution().toString()) and "BroadcastNestedLoopJoin" not in plan
+        got = {(r.row, r.col): r.val for r in out.collect()}
+        assert got.keys() == {(r, c) for r in range(30) if x[r].any() for c in range(50)}
+        assert all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+    monkeypatch.undo()
+    plain = linalg.regress_out(m, df.select("idx"))
+    assert all(r.val == pytest.approx(x[r.row, r.col] - x[r.row].mean()) for r in plain.collect())
+
+
 def test_lists_find_nearly_all_neighbours(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(15, 8)) * 3
