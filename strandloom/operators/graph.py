@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+from .moves import contracted
+
 #: Queries compared with one pass over the points.
 QUERY_BLOCK = 20_000
-#: Edges up to which communities are found; above it a bounded task cannot hold the graph.
+#: Edges up to which one task finds the communities; larger graphs are contracted in blocks before.
 GRAPH_EDGES = 2_000_000
 
 METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
@@ -228,7 +231,8 @@ def _communities(resolution: float, seed: int, cpm: bool, connected: bool):
         ids, at = np.unique(np.concatenate([i, j]), return_inverse=True)
         u, v = at[: len(i)], at[len(i) :]
         rng, owner, n = np.random.default_rng(seed), np.arange(len(ids)), len(ids)
-        cu, cv, cw, size = u, v, w, np.ones(n, dtype=np.int64)
+        size = np.bincount(u, weights=group.column("size").to_numpy(), minlength=n).astype(np.int64)
+        cu, cv, cw, size = u, v, w, np.where(size > 0, size, 1)
         while True:
             com = _moves(n, cu, cv, cw, resolution, rng, cpm, size)
             if connected:
@@ -250,15 +254,30 @@ def _communities(resolution: float, seed: int, cpm: bool, connected: bool):
 
 def communities(graph: DataFrame, resolution: float = 1.0, objective: str = "modularity", seed: int = 12531, method: str = "leiden") -> DataFrame:
     """``id, community`` (its smallest id) of an undirected graph ``i, j, weight``, by local moves
-    and contraction with a fixed seed; ``leiden`` also keeps communities connected.  One executor
-    task holds the graph, so it is counted first and must have at most GRAPH_EDGES edges; larger
-    ones need the distributed hierarchical clustering."""
+    and contraction with a fixed seed; ``leiden`` also keeps communities connected.  A graph of up
+    to GRAPH_EDGES rows is held by one executor task; a larger one is first contracted by moves over
+    blocks (``operators.moves``) until it is that small, or until no move gains."""
     if objective not in ("modularity", "CPM") or method not in ("leiden", "louvain"):
         raise ValueError("unknown objective or method")
-    e = graph.where("i is not null and j is not null and i <> j and weight > 0").groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("weight").alias("weight"))
-    if e.limit(GRAPH_EDGES + 1).count() > GRAPH_EDGES:
-        raise ValueError(f"more than {GRAPH_EDGES} edges")
-    return e.withColumn("__one", F.lit(1)).groupBy("__one").applyInArrow(_communities(resolution, seed, objective == "CPM", method == "leiden"), "id bigint, community bigint")
+    cpm, connected = objective == "CPM", method == "leiden"
+    usable = graph.where("i is not null and j is not null and i <> j and weight > 0")
+    e = usable.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("weight").cast("double").alias("weight"), F.lit(0).cast("bigint").alias("size"))
+    rows, largest = usable.agg(F.count(F.lit(1)), F.max(F.greatest(F.abs("i"), F.abs("j")))).first()
+    labels, fewer = None, True
+    while rows > GRAPH_EDGES and fewer:
+        level, e, fewer = contracted(e, rows, largest, resolution, cpm, connected, seed)
+        e = cut_lineage(e)
+        rows = e.count()
+        labels = level if labels is None else labels.join(level.toDF("community", "__next"), "community").select("id", F.col("__next").alias("community"))
+    if rows <= GRAPH_EDGES:
+        if labels is None:
+            e = e.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("weight").alias("weight"), F.max("size").alias("size"))
+        last = e.withColumn("__one", F.lit(1)).groupBy("__one").applyInArrow(_communities(resolution, seed, cpm, connected), "id bigint, community bigint")
+        if labels is None:
+            return last
+        labels = labels.join(last.toDF("community", "__next"), "community").select("id", F.col("__next").alias("community"))
+    low = labels.groupBy("community").agg(F.min("id").alias("__low"))
+    return labels.join(low, "community").select("id", F.col("__low").alias("community"))
 
 
 def cluster_seurat(graph: DataFrame, resolution: float = 0.8, seed: int = 12531) -> DataFrame:

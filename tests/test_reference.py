@@ -265,6 +265,24 @@ def test_graphs(spark):
         graph.exact_neighbours(df, metric="other")
 
 
+@pytest.mark.parametrize("method", ["leiden", "louvain"])
+def test_communities_of_graphs_above_a_task(spark, monkeypatch, method):
+    from strandloom.operators import moves
+
+    rng = np.random.default_rng(7)
+    rows = [(c * 10 + int(i), c * 10 + int(j), float(rng.uniform(0.5, 1))) for c in range(40) for i in range(10) for j in range(i)]
+    rows += [(int(i), int(j), 0.2) for i, j in rng.integers(0, 400, (120, 2))] + [(5, 5, 1.0), (j := 3, 2, 0.1)]
+    df = spark.createDataFrame(rows + [(j, i, w / 2) for i, j, w in rows[:200]] + [(None, 4, 1.0), (2**40, 2**40 + 1, 1.0)], "i long, j long, weight double").repartition(3)
+    whole = graph.modularity(df.where("i is not null"), graph.communities(df, method=method)).first()[0]
+    monkeypatch.setattr(graph, "GRAPH_EDGES", 300)
+    monkeypatch.setattr(moves, "BLOCK_LINKS", 2500)
+    lab = graph.communities(df, method=method).collect()
+    got = {r.id: r.community for r in lab}
+    assert len(lab) == 402 == len(got) and all(got[c] == c <= k for k, c in got.items())
+    assert sum(got[k] == got[k // 10 * 10] for k in range(400)) > 390 and got[2**40 + 1] == 2**40
+    assert graph.modularity(df.where("i is not null"), spark.createDataFrame(lab)).first()[0] > 0.98 * whole
+
+
 def test_tails(spark):
     assert poisson_cdf_value(3.7, 2.0) == pytest.approx(sum(math.exp(-2) * 2**k / math.factorial(k) for k in range(4)))
     assert [poisson_quantile_value(p, 2.0) for p in (0.1, 0.5, 0.99)] == [0, 2, 6]
