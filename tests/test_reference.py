@@ -388,6 +388,16 @@ def test_iterated_factorisation_and_regression(spark):
         assert abs(r.val - want[r.row, r.col]) < 1e-8
 
 
+def test_restarted_factorisation(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.where(rng.random((160, 90)) < 0.3, rng.poisson(3, (160, 90)), 0).astype(float)
+    m = SparseMatrix.of(spark.createDataFrame([(int(r), int(c), float(x[r, c])) for r, c in np.argwhere(x)], "row long, col long, val double"), 160, 90)
+    monkeypatch.setattr(linalg, "BASIS", 90 * 40)
+    left, values, right = linalg.svds(m, 2, 0)
+    u, d, v = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(values, d[:2], rtol=1e-7)
+
+
 def test_regression_in_blocks_shuffles_no_dense_rows(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = np.where(rng.random((30, 50)) < 0.2, rng.poisson(3, (30, 50)), 0).astype(float)
