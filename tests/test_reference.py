@@ -283,6 +283,13 @@ def test_communities_of_graphs_above_a_task(spark, monkeypatch, method):
     assert graph.modularity(df.where("i is not null"), spark.createDataFrame(lab)).first()[0] > 0.98 * whole
 
 
+def test_seurat_above_a_task(spark, monkeypatch):
+    rows = [(c * 8 + i, c * 8 + j, 1.0) for c in range(6) for i in range(8) for j in range(i)] + [(8 * c, 8 * c - 1, 0.1) for c in range(1, 6)]
+    monkeypatch.setattr(graph, "GRAPH_EDGES", 100)
+    lab = graph.cluster_seurat(spark.createDataFrame(rows, "i long, j long, weight double")).collect()
+    assert {r.id: r.community for r in lab} == {k: k // 8 * 8 for k in range(48)}
+
+
 def test_tails(spark):
     assert poisson_cdf_value(3.7, 2.0) == pytest.approx(sum(math.exp(-2) * 2**k / math.factorial(k) for k in range(4)))
     assert [poisson_quantile_value(p, 2.0) for p in (0.1, 0.5, 0.99)] == [0, 2, 6]
