@@ -88,7 +88,7 @@ class LocalBlock:
     def __init__(self, state: dict, out: Out):
         self.state, self.out = state, out
 
-    def step(self, fn: Callable, *args) -> list:
+    def step(self, fn: Callable, *args, held: bool = True) -> list:
         self.state, self.out, stats = fn(0, 1, self.state, [(0, m) for _, m in self.out], *args)
         return [stats]
 
@@ -98,7 +98,7 @@ class Blocks:
 
     def __init__(self, spark: SparkSession, rdd, count: int):
         self.spark, self.rdd, self.count = spark, rdd.persist(StorageLevel.MEMORY_AND_DISK), count
-        self.steps, self.folder, self.kept = 0, None, KEPT_STEPS
+        self.steps, self.folder, self.kept, self.still = 0, None, KEPT_STEPS, None
 
     @classmethod
     def load(cls, parts: DataFrame, count: int, build: Callable) -> Blocks:
@@ -125,22 +125,33 @@ class Blocks:
             self.folder = after.getCheckpointFile()
         self.rdd = after
 
-    def step(self, fn: Callable, *args) -> list:
+    def hold(self, keys: frozenset) -> None:
+        """Keep these entries of the states apart: from now on steps read them, but no step writes
+        them again, and a step with ``held=False`` does not even read them."""
+        self.still = self.rdd.mapValues(lambda v: (None, {k: a for k, a in v[0].items() if k in keys})).persist(StorageLevel.MEMORY_AND_DISK)
+        self.still._jrdd.count()
+        self._replace(self.rdd.mapValues(lambda v: ({k: a for k, a in v[0].items() if k not in keys}, v[1])))
+
+    def step(self, fn: Callable, *args, held: bool = True) -> list:
         count, told = self.count, self.spark.sparkContext.accumulator({}, _ByBlock())
 
         def run(block: int, items: Iterable) -> Iterator:
-            state, inbox = {}, []
+            state, inbox, still = {}, [], {}
             for _, (mine, x) in items:
                 if mine:
                     state = x
+                elif mine is None:
+                    still = x
                 else:
                     inbox.append(x)
             inbox.sort(key=lambda m: m[0])
-            state, out, stats = fn(block, count, state, inbox, *args)
+            state, out, stats = fn(block, count, still | state, inbox, *args)
             told.add({block: stats})  # a repeated task says the same again
-            yield block, (state, out)
+            yield block, ({k: a for k, a in state.items() if k not in still}, out)
 
         states = self.rdd.mapValues(lambda v: (True, v[0]))
+        if held and self.still is not None:
+            states = states.union(self.still)
         mail = self.rdd.flatMap(lambda x: [(to, (False, (x[0], m))) for to, m in x[1][1]]).partitionBy(count, _same)
         after = states.union(mail).mapPartitionsWithIndex(run, preservesPartitioning=True)
         self._replace(after)
@@ -184,10 +195,20 @@ class Blocks:
                 for x in batch.column(0):
                     yield from pa.ipc.open_stream(x.as_buffer())
 
+        def joined(items: Iterable) -> Iterator:
+            parts = list(items)
+            still = next(v[1] for _, v in parts if v[0] is None)
+            for block, (state, out) in parts:
+                if state is not None:
+                    yield block, (still | state, out)
+
         ensure_checkpoint_dir(self.spark)
-        final = self.rdd.flatMap(packed)
+        whole = self.rdd if self.still is None else self.rdd.union(self.still).mapPartitions(joined, preservesPartitioning=True)
+        final = whole.flatMap(packed)
         final.checkpoint()
         final.count()
         self.rdd.unpersist()
+        if self.still is not None:
+            self.still.unpersist()
         drop_folder(self.spark, self.folder)
         return self.spark.createDataFrame(final, "data binary").mapInArrow(unpacked, schema)

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
-from .moves import contracted
+from .moves import contracted, contracted_here
 
 #: Queries compared with one pass over the points.
 QUERY_BLOCK = 20_000
 #: Edges up to which one task finds the communities; larger graphs are contracted in blocks before.
 GRAPH_EDGES = 2_000_000
+#: Edges up to which nodes move one after the other; a task that holds more contracts them before by moves of many at once.
+SINGLE_MOVES = 200_000
 
 METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "euclidean": lambda q, p: np.sqrt(np.maximum((q * q).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * q @ p.T, 0)),
@@ -227,11 +229,18 @@ def _split_connected(com: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarra
 
 def _communities(resolution: float, seed: int, cpm: bool, connected: bool):
     def run(group: pa.Table) -> pa.Table:
-        i, j, w = (group.column(c).to_numpy() for c in ("i", "j", "weight"))
+        i, j, w, within = (group.column(c).to_numpy() for c in ("i", "j", "weight", "size"))
+        labels, nodes = None, 0
+        while len(i) > SINGLE_MOVES:
+            level, (i, j, w, within) = contracted_here(i, j, w, within, resolution, cpm, connected, seed)
+            labels = level if labels is None else (labels[0], level[1][np.searchsorted(level[0], labels[1])])
+            fewer, nodes = (within > 0).sum() != nodes, (within > 0).sum()
+            if not fewer:
+                break
         ids, at = np.unique(np.concatenate([i, j]), return_inverse=True)
         u, v = at[: len(i)], at[len(i) :]
         rng, owner, n = np.random.default_rng(seed), np.arange(len(ids)), len(ids)
-        size = np.bincount(u, weights=group.column("size").to_numpy(), minlength=n).astype(np.int64)
+        size = np.bincount(u, weights=within, minlength=n).astype(np.int64)
         cu, cv, cw, size = u, v, w, np.where(size > 0, size, 1)
         while True:
             com = _moves(n, cu, cv, cw, resolution, rng, cpm, size)
@@ -245,6 +254,8 @@ def _communities(resolution: float, seed: int, cpm: bool, connected: bool):
             a, b = np.minimum(com[cu], com[cv]), np.maximum(com[cu], com[cv])
             key, back = np.unique(a.astype(np.int64) * m + b, return_inverse=True)
             cw, cu, cv, n = np.bincount(back, weights=cw), key // m, key % m, m
+        if labels is not None:
+            ids, owner = labels[0], owner[np.searchsorted(ids, labels[1])]
         low = np.full(owner.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(low, owner, ids)
         return pa.table({"id": ids, "community": low[owner]})

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Blocks, Out, by_home, gathered, home, lookup, mixed
+from .blocks import Blocks, LocalBlock, Out, by_home, gathered, home, lookup, mixed
 
 #: Links, both directions counted, that a block is meant to hold.
 BLOCK_LINKS = 800_000
@@ -23,6 +23,8 @@ BLOCK_LINKS = 800_000
 ROUNDS = 10
 #: Supersteps between two checkpoints; the links weigh more on the disk than steps do to repeat.
 KEPT_STEPS = 32
+#: Entries of the states that moves leave as they are.
+_STILL = frozenset({"ids", "size", "within", "strength", "start", "nbr", "w", "far"})
 _KINDS = (("u", np.int64), ("v", np.int64), ("w", np.float64), ("n", np.int64))
 
 
@@ -40,26 +42,30 @@ def _routed(count: int):
     return run
 
 
+def _state(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, cpm: bool, kind: type) -> dict:
+    """Nodes ``u`` with their links; a row with u = v holds what is within a node."""
+    ids = np.unique(u)
+    loop = u == v
+    own = np.searchsorted(ids, u[loop])
+    within = np.bincount(own, weights=w[loop], minlength=len(ids))
+    size = np.bincount(own, weights=n[loop], minlength=len(ids)) if loop.any() else np.ones(len(ids))
+    u, v, w = u[~loop], v[~loop], w[~loop]
+    order = np.lexsort((w, v, u))
+    u, v, w = u[order], v[order], w[order]
+    last = np.r_[(u[1:] != u[:-1]) | (v[1:] != v[:-1]), [True]] if len(u) else np.zeros(0, bool)  # of repeated edges the heaviest
+    u, v, w = u[last], v[last], w[last]
+    far, nbr = np.unique(v, return_inverse=True)
+    at = np.searchsorted(ids, u)
+    strength = size if cpm else np.bincount(at, weights=w, minlength=len(ids)) + 2 * within
+    ids, far, start = ids.astype(kind), far.astype(kind), np.searchsorted(at, np.arange(len(ids) + 1))
+    return {"ids": ids, "size": size, "within": within, "strength": strength, "start": start, "nbr": nbr.astype(np.int32), "w": w, "far": far, "fcom": far.copy(), "com": ids.copy()}
+
+
 def _built(cpm: bool, kind: type):
     def build(block: int, count: int, packets: list) -> dict:
         cut = [np.frombuffer(bytes(x), np.int64).reshape(4, -1) for x in packets] or [np.empty((4, 0), np.int64)]
         u, v, w, n = np.concatenate(cut, axis=1)
-        w = w.view(np.float64)
-        ids = np.unique(u)
-        loop = u == v
-        own = np.searchsorted(ids, u[loop])
-        within = np.bincount(own, weights=w[loop], minlength=len(ids))
-        size = np.bincount(own, weights=n[loop], minlength=len(ids)) if loop.any() else np.ones(len(ids))
-        u, v, w = u[~loop], v[~loop], w[~loop]
-        order = np.lexsort((w, v, u))
-        u, v, w = u[order], v[order], w[order]
-        last = np.r_[(u[1:] != u[:-1]) | (v[1:] != v[:-1]), [True]] if len(u) else np.zeros(0, bool)  # of repeated edges the heaviest
-        u, v, w = u[last], v[last], w[last]
-        far, nbr = np.unique(v, return_inverse=True)
-        at = np.searchsorted(ids, u)
-        strength = size if cpm else np.bincount(at, weights=w, minlength=len(ids)) + 2 * within
-        ids, far, start = ids.astype(kind), far.astype(kind), np.searchsorted(at, np.arange(len(ids) + 1))
-        return {"ids": ids, "size": size, "within": within, "strength": strength, "start": start, "nbr": nbr.astype(np.int32), "w": w, "far": far, "fcom": far.copy(), "com": ids.copy()}
+        return _state(u, v, w.view(np.float64), n, cpm, kind)
 
     return build
 
@@ -170,23 +176,41 @@ def _rows(s: dict) -> dict:
     return {"a": np.r_[s["ids"], a[first]].astype(np.int64), "b": np.r_[s["com"], b[first]].astype(np.int64), "w": np.r_[np.zeros(len(s["ids"])), total(w)], "n": np.r_[np.full(len(s["ids"]), -1), total(n).astype(np.int64)]}
 
 
-def contracted(edges: DataFrame, rows: int, largest: int, resolution: float, cpm: bool, connected: bool, seed: int) -> tuple[DataFrame, DataFrame, bool]:
-    """One level of moves over ``i, j, weight, size`` (a row with i = j holds what is within a node):
-    labels ``id, community``, the graph of the communities, and whether it has fewer nodes."""
-    count = 1 << max(0, int(np.ceil(np.log2(max(1, 2 * rows / BLOCK_LINKS)))))
-    blocks = Blocks.load(edges.select("i", "j", "weight", "size").mapInArrow(_routed(count), "block int, data binary"), count, _built(cpm, np.int32 if largest < 2**31 else np.int64))
-    blocks.kept = KEPT_STEPS
-    blocks.rdd._jrdd.count()
-    blocks.rdd._jrdd.rdd().cleanShuffleDependencies(False)  # the files of the edges
+def _rounds(blocks: Blocks | LocalBlock, resolution: float, cpm: bool, connected: bool, seed: int) -> int:
+    """Rounds of moves; the number of nodes."""
     for turn in range(ROUNDS):
         total = sum(blocks.step(_ask))
-        blocks.step(_add)
+        blocks.step(_add, held=False)
         moved, nodes = map(sum, zip(*blocks.step(_move, 1.0 if cpm else max(total, 1e-300), resolution, seed + turn)))
         if moved <= nodes / 100 and turn > 1:
             break
     while connected and sum(blocks.step(_spread)):
         pass
     blocks.step(_settle)
+    return nodes
+
+
+def contracted_here(i: np.ndarray, j: np.ndarray, w: np.ndarray, size: np.ndarray, resolution: float, cpm: bool, connected: bool, seed: int) -> tuple[tuple, tuple]:
+    """One level of moves over edges (i = j as in ``contracted``) that one task holds: sorted ids and
+    their labels, and the columns of the graph of the communities."""
+    two = i != j
+    block = LocalBlock(_state(np.concatenate([i, j[two]]), np.concatenate([j, i[two]]), np.concatenate([w, w[two]]), np.concatenate([size, size[two]]), cpm, np.int64), [])
+    _rounds(block, resolution, cpm, connected, seed)
+    rows = _rows(block.state)
+    label = rows["n"] < 0
+    return (rows["a"][label], rows["b"][label]), tuple(rows[k][~label] for k in "abwn")
+
+
+def contracted(edges: DataFrame, rows: int, largest: int, resolution: float, cpm: bool, connected: bool, seed: int) -> tuple[DataFrame, DataFrame, bool]:
+    """One level of moves over ``i, j, weight, size`` (a row with i = j holds what is within a node):
+    labels ``id, community``, the graph of the communities, and whether it has fewer nodes."""
+    count = 1 << max(0, int(np.ceil(np.log2(max(1, 2 * rows / BLOCK_LINKS)))))
+    blocks = Blocks.load(edges.select("i", "j", "weight", "size").mapInArrow(_routed(count), "block int, data binary"), count, _built(cpm, np.int32 if largest < 2**31 else np.int64))
+    blocks.kept = KEPT_STEPS
+    blocks.rdd._jrdd.count()
+    blocks.rdd._jrdd.rdd().cleanShuffleDependencies(False)  # the files of the edges
+    blocks.hold(_STILL)
+    nodes = _rounds(blocks, resolution, cpm, connected, seed)
     found = blocks.frame(_rows, "a bigint, b bigint, w double, n bigint")
     labels = found.where("n < 0").select(F.col("a").alias("id"), F.col("b").alias("community"))
     graph = found.where("n >= 0").groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum("w").alias("weight"), F.sum("n").alias("size"))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,6 +291,39 @@ def test_seurat_above_a_task(spark, monkeypatch):
     assert {r.id: r.community for r in lab} == {k: k // 8 * 8 for k in range(48)}
 
 
+@pytest.mark.parametrize("connected", [False, True])
+def test_a_task_contracts_before_single_moves(monkeypatch, connected):
+    rng = np.random.default_rng(3)
+    edges = {(c * 10 + i, c * 10 + j): 1.0 for c in range(60) for i in range(10) for j in range(i)}
+    edges |= {(int(i), int(j)): 0.05 for i, j in rng.integers(0, 600, (300, 2)) if i // 10 != j // 10}
+    (i, j), w = np.array(list(edges)).T, np.array(list(edges.values()))
+    swept, moved = [], graph._moves
+    monkeypatch.setattr(graph, "_moves", lambda n, u, *x: swept.append(len(u)) or moved(n, u, *x))
+    monkeypatch.setattr(graph, "SINGLE_MOVES", 500)
+    lab = graph._communities(1.0, 5, False, connected)(pa.table({"i": i, "j": j, "weight": w, "size": np.zeros(len(i), np.int64)}))
+    assert dict(zip(lab["id"].to_pylist(), lab["community"].to_pylist())) == {k: k // 10 * 10 for k in range(600)}
+    assert max(swept) <= 500 < len(i)
+
+
+def test_moves_keep_the_links_apart(spark, monkeypatch):
+    from strandloom.operators import moves
+
+    written, step = [], moves.Blocks.step
+
+    def seen(blocks, fn, *args, **kw):
+        stats = step(blocks, fn, *args, **kw)
+        written.extend(set(s) for _, (s, _) in blocks.rdd.collect())
+        return stats
+
+    monkeypatch.setattr(graph, "GRAPH_EDGES", 50)
+    monkeypatch.setattr(moves, "BLOCK_LINKS", 100)
+    monkeypatch.setattr(moves.Blocks, "step", seen)
+    rows = [(c * 8 + i, c * 8 + j, 1.0) for c in range(4) for i in range(8) for j in range(i)] + [(8, 7, 0.1), (16, 15, 0.1), (24, 23, 0.1)]
+    lab = graph.communities(spark.createDataFrame(rows, "i long, j long, weight double"), method="louvain").collect()
+    assert {r.id: r.community for r in lab} == {k: k // 8 * 8 for k in range(32)}
+    assert written and all(s == {"com", "fcom"} for s in written)  # links stay where they are
+
+
 def test_tails(spark):
     assert poisson_cdf_value(3.7, 2.0) == pytest.approx(sum(math.exp(-2) * 2**k / math.factorial(k) for k in range(4)))
     assert [poisson_quantile_value(p, 2.0) for p in (0.1, 0.5, 0.99)] == [0, 2, 6]
