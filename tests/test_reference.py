@@ -305,6 +305,15 @@ def test_a_task_contracts_before_single_moves(monkeypatch, connected):
     assert max(swept) <= 500 < len(i)
 
 
+@pytest.mark.parametrize("single", [40, 10**6])
+def test_seurat_resolution_within_a_task(spark, monkeypatch, single):
+    monkeypatch.setattr(graph, "SINGLE_MOVES", single)
+    rows = [(i, j, 1.0 if i // 10 == j // 10 else 0.736) for i in range(20) for j in range(i)]
+    df = spark.createDataFrame(rows, "i long, j long, weight double")
+    assert {r.community for r in graph.cluster_seurat(df).collect()} == {0}  # joined below a resolution of 0.9
+    assert {r.id: r.community for r in graph.communities(df, method="louvain").collect()} == {k: k // 10 * 10 for k in range(20)}
+
+
 def test_moves_keep_the_links_apart(spark, monkeypatch):
     from strandloom.operators import moves
 
