@@ -21,8 +21,6 @@ from .blocks import Blocks, LocalBlock, Out, by_home, gathered, home, lookup, mi
 BLOCK_LINKS = 800_000
 #: Rounds of moves before a contraction; they end earlier when fewer than a hundredth of the nodes move.
 ROUNDS = 10
-#: Supersteps between two checkpoints; the links weigh more on the disk than steps do to repeat.
-KEPT_STEPS = 32
 #: Entries of the states that moves leave as they are.
 _STILL = frozenset({"ids", "size", "within", "strength", "start", "nbr", "w", "far"})
 _KINDS = (("u", np.int64), ("v", np.int64), ("w", np.float64), ("n", np.int64))
@@ -206,7 +204,6 @@ def contracted(edges: DataFrame, rows: int, largest: int, resolution: float, cpm
     labels ``id, community``, the graph of the communities, and whether it has fewer nodes."""
     count = 1 << max(0, int(np.ceil(np.log2(max(1, 2 * rows / BLOCK_LINKS)))))
     blocks = Blocks.load(edges.select("i", "j", "weight", "size").mapInArrow(_routed(count), "block int, data binary"), count, _built(cpm, np.int32 if largest < 2**31 else np.int64))
-    blocks.kept = KEPT_STEPS
     blocks.rdd._jrdd.count()
     blocks.rdd._jrdd.rdd().cleanShuffleDependencies(False)  # the files of the edges
     blocks.hold(_STILL)

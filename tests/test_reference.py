@@ -333,6 +333,25 @@ def test_moves_keep_the_links_apart(spark, monkeypatch):
     assert written and all(s == {"com", "fcom"} for s in written)  # links stay where they are
 
 
+def test_moves_cut_their_lineage(spark, monkeypatch):
+    from strandloom.operators import blocks, moves
+
+    run, step = [], moves.Blocks.step
+
+    def seen(held_by, fn, *args, **kw):
+        before, stats = held_by.folder, step(held_by, fn, *args, **kw)
+        run.append(1 if held_by.folder != before else run[-1] + 1 if run else 1)
+        return stats
+
+    monkeypatch.setattr(graph, "GRAPH_EDGES", 50)
+    monkeypatch.setattr(moves, "BLOCK_LINKS", 100)
+    monkeypatch.setattr(moves.Blocks, "step", seen)
+    rows = [(c * 8 + i, c * 8 + j, 1.0) for c in range(4) for i in range(8) for j in range(i)] + [(8, 7, 0.1), (16, 15, 0.1), (24, 23, 0.1)]
+    lab = graph.cluster_seurat(spark.createDataFrame(rows, "i long, j long, weight double")).collect()
+    assert {r.id: r.community for r in lab} == {k: k // 8 * 8 for k in range(32)}
+    assert len(run) > blocks.KEPT_STEPS >= max(run)  # plans of many steps overflow the stack of the scheduler
+
+
 def test_tails(spark):
     assert poisson_cdf_value(3.7, 2.0) == pytest.approx(sum(math.exp(-2) * 2**k / math.factorial(k) for k in range(4)))
     assert [poisson_quantile_value(p, 2.0) for p in (0.1, 0.5, 0.99)] == [0, 2, 6]
